@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe_codec, packing, quality_rules, token_counts
+from vellum.llm import bpe_codec, packing, quality_rules, simhash, token_counts
 from vellum.llm.common import ready, table
 
 
@@ -13,6 +13,11 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(ready(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", simhash.as_hex(found.fp).alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -25,5 +30,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(ready(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_codec, op6_quality_rules, op7_token_counts, op9_packing)}
+QUERIES = {f.__name__: f for f in (op3_bpe_codec, op4_simhash, op6_quality_rules, op7_token_counts, op9_packing)}
 ORACLES: dict[str, str] = {}
