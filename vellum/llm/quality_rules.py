@@ -125,3 +125,36 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows, with all their columns, that no rule rejects: judged in the same projection, without a join."""
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), F.col("text"))
     return judge(named, rules).where("kept").select("doc_id.*")
+
+
+def _oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """judge() over the table documents, for DuckDB."""
+    stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    fails = [f"{r.measure} < {r.least}" for r in rules if r.least is not None] + [f"{r.measure} > {r.most}" for r in rules if r.most is not None]
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\x0c\r]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\x0c\r]')) AS l
+  FROM documents),
+t AS (SELECT k, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+g AS (SELECT k, i, count(*) OVER (PARTITION BY k, w[i], w[i + 1], w[i + 2]) AS n FROM t),
+r AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY k),
+m AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+    len(list_filter(w, lambda x: x IN ({stop}))) AS n_stop, len(l) AS n_lines
+  FROM d LEFT JOIN r USING (k)),
+x AS (
+  SELECT *, word_chars / greatest(n_words, 1) AS mean_word_chars, n_symbols / greatest(n_words, 1) AS symbols_per_word,
+    n_stop / greatest(n_words, 1) AS stop_word_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(fails)}) AS kept
+FROM x
+"""
+
+
+ORACLE_SQL = _oracle()

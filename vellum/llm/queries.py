@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe_codec, packing, quality_rules, simhash, token_counts
+from vellum.llm import bpe_codec, packing, quality_rules, simhash, token_counts, vector_search
 from vellum.llm.common import ready, table
 
 
@@ -30,5 +30,23 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(ready(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_codec, op4_simhash, op6_quality_rules, op7_token_counts, op9_packing)}
-ORACLES: dict[str, str] = {}
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vector_search.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return vector_search.search(vectors.where("id % 20 = 0"), vectors)
+
+
+QUERIES = {f.__name__: f for f in (op3_bpe_codec, op4_simhash, op6_quality_rules, op7_token_counts, op9_packing, op10_vector_search)}
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": quality_rules.ORACLE_SQL,
+    "op10_vector_search": """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id != c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
+""",
+}
