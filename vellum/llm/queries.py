@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe_codec, packing, quality_rules, simhash, token_counts, vector_search
+from vellum.llm import bpe_codec, packing, quality_classifier, quality_rules, simhash, token_counts, toxicity, vector_search
 from vellum.llm.common import ready, table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -18,6 +23,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(found.fp).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -35,7 +45,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(vectors.where("id % 20 = 0"), vectors)
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_codec, op4_simhash, op6_quality_rules, op7_token_counts, op9_packing, op10_vector_search)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_bpe_codec, op4_simhash, op5_toxicity, op6_quality_rules, op7_token_counts, op9_packing, op10_vector_search)}
 ORACLES: dict[str, str] = {
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op10_vector_search": """
