@@ -66,7 +66,7 @@ def noisy_or(z: np.ndarray) -> float:
     return float(-np.expm1(-np.logaddexp(0, np.clip(z, -30, 30)).sum()))
 
 
-def fit_bags(texts: list[str | None], y: np.ndarray, rounds: int = 120, rate: float = 0.15, decay: float = 2e-5, least: int = 3) -> Model:
+def fit_bags(texts: list[str | None], y: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 5e-5, least: int = 8) -> Model:
     """Weights by Adam on the mean log loss of the noisy-or; a feature must be in `least` texts."""
     places: dict[str, int] = {}
     word, bag, ends = [], [], []
