@@ -67,7 +67,7 @@ g AS (
         ELSE 24 + length(role) + len(regexp_extract_all(role, '[<\[]\\*/?(s>|SYS\]|INST\]|OUT\]|ROLE\]|TURN\])')) END) AS n
   FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, (3 + n)::BIGINT AS formatted_chars FROM g
-""".replace("\\\\", "\\"),
+""",
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op10_vector_search": """
 WITH v AS (
