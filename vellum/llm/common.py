@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -54,3 +55,12 @@ def ready(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or "/tmp/checkpoints")
     return df
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder of spark.checkpoint.dir and read again: lineage is cut, columns stay compact."""
+    ready(df)
+    sc = df.sparkSession.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe_codec, chat_format, packing, quality_classifier, quality_rules, simhash, token_counts, toxicity, vector_search
+from vellum.llm import bpe_codec, chat_format, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, toxicity, vector_search
 from vellum.llm.common import ready, table
 
 
@@ -14,6 +14,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -52,7 +56,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(vectors.where("id % 20 = 0"), vectors)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_bpe_codec, op4_simhash, op5_toxicity, op6_quality_rules, op7_token_counts, op8_chat_format, op9_packing, op10_vector_search)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_bpe_codec, op4_simhash, op5_toxicity, op6_quality_rules, op7_token_counts, op8_chat_format, op9_packing, op10_vector_search)}
 #: What the template adds, by role: BEGIN once, then these and a backslash for each control string in a text.
 ORACLES: dict[str, str] = {
     "op8_chat_format": r"""
