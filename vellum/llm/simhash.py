@@ -10,6 +10,7 @@ already tied to the searcher are skipped, so a dense group costs about its size
 
 from __future__ import annotations
 
+import math
 from functools import partial
 from itertools import repeat
 
@@ -25,21 +26,28 @@ FAN = 8
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """The text's fingerprint over shingles of so many words, repeats included; no word: zero."""
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle of so many words, repeats included; fewer words: the whole sequence; no word: none."""
     import xxhash
 
     w = (text or "").encode("utf-8").lower().split()
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*[w[i:] for i in range(words)], strict=False)) if len(w) >= words else iter([b" ".join(w)])
-    n = max(1, len(w) - words + 1)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, max(1, len(w) - words + 1))
+
+
+def majority(h: np.ndarray) -> int:
+    """The number whose bits are those set in over half of the hashes; of none: zero."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 15):
+    for i in range(0, len(h), 1 << 15):
         part = h[i : i + (1 << 15)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
@@ -54,6 +62,33 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     return map_text(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
+#: Odd multipliers of the min-wise hashes, and the pairs of these that make a list.
+MINS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+PAIRS = ((0, 1), (2, 3), (4, 5), (6, 7), (0, 2), (1, 3), (4, 6), (5, 7), (0, 4), (1, 5), (2, 6), (3, 7))
+
+
+def min_lists(h: np.ndarray) -> list[int]:
+    """For each pair of min-wise hashes the list that a set of shingles is in, as a signed number."""
+    if not len(h):
+        return [0] * len(PAIRS)
+    mins = [((h ^ h >> np.uint64(31)) * np.uint64(m)).min() for m in MINS]
+    return [int((np.uint64(i + 1) * mins[a] + (mins[b] ^ mins[b] >> np.uint64(29)) * np.uint64(MINS[2])).astype(np.int64)) for i, (a, b) in enumerate(PAIRS)]
+
+
+def fingerprints_with_lists(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
+    """(doc_id, fp, lists): fingerprints, and the lists in which similar texts meet."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = [shingle_hashes(t, words, seed) for t in part.column("text").to_pylist()]
+        fp = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+        with np.errstate(over="ignore"):
+            lists = [min_lists(h) for h in hashes]
+        return pa.record_batch([part.column("doc_id"), pa.array(fp), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "fp", "lists"])
+
+    docs = narrow(docs, "doc_id", "text")
+    return map_text(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, lists array<long>")
+
+
 def blocks(k: int) -> list[int]:
     """(k + 1) squared masks; any two 64-bit numbers that differ in at most k bits agree on all bits of one of them."""
 
@@ -166,12 +201,16 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def links(fps: DataFrame, k: int = 3) -> DataFrame:
-    """(a, b): ties between different fingerprints (column fp) whose components are those of all links of at most k bits."""
+def pigeonhole(fps: DataFrame, k: int) -> DataFrame:
+    """(fp, block, bits): the lists of each different fingerprint; any two that differ in at most k bits share one."""
     masks = blocks(k)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     lists = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])
-    rows = fps.select("fp").distinct().select("fp", F.explode(lists).alias("l")).select("fp", "l.block", "l.bits")
+    return fps.select("fp").distinct().select("fp", F.explode(lists).alias("l")).select("fp", "l.block", "l.bits")
+
+
+def links(rows: DataFrame, k: int = 3) -> DataFrame:
+    """(a, b): ties between different fingerprints whose components are those of all links of at most k bits within lists (fp, block, bits)."""
 
     def run(batches):
         parts = [(b.column("fp").to_numpy(), b.column("block").to_numpy(), b.column("bits").to_numpy()) for b in batches]
@@ -203,13 +242,42 @@ def groups(docs: DataFrame, words: int = 3, k: int = 3, seed: int = 42) -> DataF
     table gives an empty one. Texts are hashed once; fingerprints stay distributed.
     """
     made = fingerprints(docs, words, seed).checkpoint()
+    return _named(made, links(pigeonhole(made, k), k))
+
+
+def _named(made: DataFrame, ties: DataFrame) -> DataFrame:
+    """made (doc_id, fp) with component_id, the least doc_id that ties between fingerprints reach."""
     firsts = made.groupBy("fp").agg(F.min("doc_id").alias("first")).checkpoint()
-    tied = components(links(firsts, k))
+    tied = components(ties)
     rooted = firsts.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")).checkpoint()
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id")).checkpoint()
     named = rooted.join(least, "root").select("fp", "component_id").checkpoint()
     return made.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """As groups(), linking texts whose fingerprints put the cosine of their shingle sets at `similarity` or more.
+
+    That allows 64 arccos(similarity) / pi bits (13 at 0.8), too many for blocks of bits; candidates meet in lists by
+    pairs of min-wise hashes of their shingles instead. Two texts that share four fifths of their shingles miss all
+    twelve lists with a chance of about 5 in a million.
+    """
+    k = int(64 * math.acos(similarity) / math.pi)
+    made = fingerprints_with_lists(docs, words, seed).checkpoint()
+    rows = made.select("fp", F.posexplode("lists").alias("block", "bits")).distinct()
+    return _named(made.select("doc_id", "fp"), links(rows, k))
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row, with all its columns, of each group of similar texts: that with the least doc_id; repeated doc_ids stay once.
+
+    Rows without doc_id have nothing to be told apart by and stay.
+    """
+    found = similar_groups(docs.where("doc_id is not null"), words, similarity)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    first = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return first.select(docs.columns).union(docs.where("doc_id is null"))
+
+
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

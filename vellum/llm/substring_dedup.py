@@ -95,10 +95,10 @@ def anchors(grams: np.ndarray, first: np.ndarray, last: np.ndarray, window: int)
     return np.unique((low[valid] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(k1, k2, doc_id, text): null texts are empty; equal rows have equal keys, 96 bits wide."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.select(F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"), "doc_id", "text")
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """(k1, k2, doc_id, text) and more columns: null texts are empty; equal rows have equal keys, 96 bits wide."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
+    return docs.select(F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"), "doc_id", "text", *more)
 
 
 def _contexts(docs: DataFrame, least: int) -> DataFrame:
@@ -331,3 +331,32 @@ def dedup_digest(docs: DataFrame, least: int = 200, max_contexts: int = MAX_CONT
     found = _with_spans(_keyed(narrow(docs, "doc_id", "text")), least, max_contexts)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_text(found.select("doc_id", "text", "spans"), run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def dedup_text(docs: DataFrame, least: int = 200, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+    """docs (doc_id, text, lang, source, n_chars) with the repeated bytes cut out of each text, and n_chars as it then is.
+
+    A range that begins or ends inside a character is cut back to whole ones. No row goes; a text may be left empty.
+    """
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = []
+        for text, spans in zip(part.column("text").to_pylist(), _lists(part), strict=True):
+            if spans:
+                data, at, kept = text.encode(), 0, []
+                for a, b in spans:
+                    while a < b and data[a] & 0xC0 == 0x80:
+                        a += 1
+                    while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+                        b -= 1
+                    kept.append(data[at:a])
+                    at = b
+                text = b"".join([*kept, data[at:]]).decode()
+            texts.append(text)
+        size = pa.array([len(t) for t in texts], pa.int64())
+        return pa.record_batch([part.column("doc_id"), pa.array(texts, pa.string()), part.column("lang"), part.column("source"), size], ["doc_id", "text", "lang", "source", "n_chars"])
+
+    keyed = _keyed(docs, "lang", "source")
+    found = _with_spans(keyed, least, max_contexts).select("doc_id", "text", "lang", "source", "spans")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_text(found, run, f"doc_id {kind}, text string, lang string, source string, n_chars long")
