@@ -19,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import map_text, narrow, stored
@@ -27,7 +27,7 @@ from vellum.llm.suffix_array import SuffixArray
 
 GRAM = 48
 MAX_CONTEXTS = 4096
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)]
 _BASE, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
@@ -102,7 +102,10 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, least: int) -> DataFrame:
-    """(ah, ch, k1, k2, pos, start, end, n): the contexts of each text's anchors; n = 2 where the text has the context twice."""
+    """(ah, ch, k1, at, form): the contexts of each text's anchors, in five longs.
+
+    `at` holds k2 and the anchor's place, `form` the bytes before and from it and how often the context counts here; see _place().
+    """
     window = least - GRAM + 1
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -123,13 +126,20 @@ def _contexts(docs: DataFrame, least: int) -> DataFrame:
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (ah[1:] != ah[:-1]) | (ch[1:] != ch[:-1])
         n = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] if len(doc) else np.zeros(0, np.int64)
-        who = pa.array(doc)
-        columns = [pa.array(ah.view(np.int64)), pa.array(ch.view(np.int64)), part.column("k1").take(who), part.column("k2").take(who), *[pa.array((x - base).astype(np.int32)) for x in (pos, start, end)]]
         # a context that its own text repeats is counted as two at its first place and as none at the others
-        columns.append(pa.array(np.where(n == 1, 1, np.where(new, 2, 0)).astype(np.int32)))
-        return pa.record_batch(columns, ["ah", "ch", "k1", "k2", "pos", "start", "end", "n"])
+        n = np.where(n == 1, 1, np.where(new, 2, 0))
+        k2 = part.column("k2").to_numpy()[doc].astype(np.int64)
+        columns = [ah.view(np.int64), ch.view(np.int64), part.column("k1").to_numpy()[doc], k2 << 32 | pos - base, (pos - start) << 32 | (end - pos) << 2 | n]
+        return pa.record_batch([pa.array(x) for x in columns], ["ah", "ch", "k1", "at", "form"])
+
+    return map_text(docs.select("k1", "k2", "text"), run, "ah long, ch long, k1 long, at long, form long", max_bytes=SLICE)
+
 
-    return map_text(docs.select("k1", "k2", "text"), run, "ah long, ch long, k1 long, k2 int, pos int, start int, end int, n int", max_bytes=SLICE)
+def _place() -> list[Column]:
+    """k1, k2, pos, start and end from k1, at and form."""
+    pos = F.col("at").bitwiseAND(0xFFFFFFFF)
+    start, end = pos - F.shiftright("form", 32), pos + F.shiftright(F.col("form").bitwiseAND(0xFFFFFFFF), 2)
+    return [F.col("k1"), F.shiftright("at", 32).cast("int").alias("k2"), pos.cast("int").alias("pos"), start.cast("int").alias("start"), end.cast("int").alias("end")]
 
 
 def _cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -279,12 +289,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def repeated_spans(keyed: DataFrame, least: int, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
     """(k1, k2, start, end): ranges that cover exactly the bytes of strings of `least` bytes that start twice or more."""
     seen = stored(_contexts(keyed, least))
-    distinct = stored(seen.groupBy("ah", "ch").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "pos", "start", "end")).alias("r")))
+    # the first row of a context stands for it; which one that is makes no difference
+    one = [F.first(c).alias(c) for c in ("k1", "at", "form")]
+    distinct = stored(seen.groupBy("ah", "ch").agg(F.sum(F.col("form").bitwiseAND(3)).alias("n"), *one))
     many = distinct.groupBy("ah").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1").select("ah", (F.col("contexts") > max_contexts).alias("hot"))
-    wanted = distinct.join(many, "ah").select("ah", "r.*", (F.col("n") == 1).alias("single"), "hot")
+    wanted = distinct.join(many, "ah").select("ah", *_place(), (F.col("n") == 1).alias("single"), "hot")
     contexts = stored(_cut_contexts(keyed, wanted))
     twice = distinct.where("n > 1").select("ah", "ch")
-    spans = [seen.join(twice, ["ah", "ch"]).select("k1", "k2", "start", "end"), _by_suffix_array(contexts.where("not hot"), least)]
+    spans = [seen.join(twice, ["ah", "ch"]).select(*[c for i, c in enumerate(_place()) if i != 2]), _by_suffix_array(contexts.where("not hot"), least)]
     if contexts.where("hot").limit(1).count():
         spans += _by_halving(contexts.where("hot"), least)
     out = spans[0]

@@ -7,10 +7,12 @@ import numpy as np
 
 def _ranks(key: np.ndarray) -> np.ndarray:
     """Dense ranks of the keys' order."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     k = key[order]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]])) if len(k) else 0
+    step = np.zeros(len(k), np.int32)
+    np.not_equal(k[1:], k[:-1], out=step[1:], casting="unsafe")
+    out = np.empty(len(k), np.int32)
+    out[order] = np.cumsum(step, dtype=np.int32)
     return out
 
 
@@ -36,15 +38,14 @@ class SuffixArray:
         for i in range(8):
             words = words << np.uint64(8) | data[i : n + i]
         # a rank is of value only where the substring stays in its text
-        self.levels = [(8, _ranks(words))]
-        while (h := self.levels[-1][0]) < least:
-            rank = self.levels[-1][1]
+        h, rank = 8, _ranks(words)
+        while h < least:
             step = min(h, least - h)
-            second = np.zeros(n, np.int64)
-            second[: n - step] = rank[step:]
-            self.levels.append((h + step, _ranks(rank << 32 | second)))
+            key = rank.astype(np.int64) << 32
+            key[: n - step] |= rank[step:]
+            h, rank = h + step, _ranks(key)
         whole = np.flatnonzero(np.arange(n) + least <= end)
-        rank = self.levels[-1][1][whole]
+        rank = rank[whole]
         own = np.asarray(group, np.int64)[owner[whole]]
         order = np.lexsort((whole, rank, own))
         self.at, self.owner = whole[order], owner[whole][order]
