@@ -160,3 +160,28 @@ def test_empty_tables(spark):
     none = items(spark).limit(0) if False else spark.createDataFrame([], ITEM)
     text = spark.createDataFrame([], "doc_id string, page int, y0 double, y1 double, x0 double, x1 double")
     assert review.notes(none, text).count() == 0 and dedup.dedup_overlaps(none).count() == 0
+
+
+def test_document_furniture(spark):
+    from vellum.operators import branding as B
+
+    shape = "doc_id string, page int, x0 double, y0 double, x1 double, y1 double, width double, height double"
+    make = lambda rows, more="": spark.createDataFrame([("d", 1, *map(float, r[:4]), 600.0, 800.0, *r[4:]) for r in rows], shape + more)
+    links, text = make([(10, 10, 90, 20, "https://bit.ly/x"), (10, 700, 90, 720, "https://example.org")], ", uri string"), make([(50, 100, 500, 112, "underlined words"), (50, 780, 90, 790, "4/5"), (50, 300, 90, 310, "4/5")], ", text string")
+    images, strokes, boxes = make([(100, 8, 130, 22), (100, 300, 200, 400)]), make([(50, 112, 300, 113), (50, 500, 400, 501), (20, 100, 22, 700)]), make([(300, 600, 500, 700)])
+    got = sorted(tuple(r)[2:] for r in B.collect(links, text, images, strokes, boxes).collect())
+    assert got == [(10.0, 10.0, 90.0, 20.0), (20.0, 100.0, 22.0, 700.0), (50.0, 500.0, 400.0, 501.0), (50.0, 780.0, 90.0, 790.0), (100.0, 8.0, 130.0, 22.0)]
+    row = spark.range(1).select(B.font_alias(F.lit("ABC+Arial"), F.lit(16), {"times": "tiro"}), B.font_alias(F.lit("X+Times"), F.lit(0), {"times": "tiro"}), B.font_alias(F.lit(None), F.lit(22)), B.packed_colour(F.lit("16777217"))).first()
+    assert tuple(row) == ("hebo", "tiro", "tibi", 1)
+
+
+def test_clusters_and_frames(spark):
+    rect = "doc_id string, page int, x0 double, y0 double, x1 double, y1 double"
+    r = spark.createDataFrame([("d", 1, 0.0, 0.0, 10.0, 10.0), ("d", 1, 12.0, 0.0, 20.0, 10.0), ("d", 1, 100.0, 100.0, 110.0, 110.0)], rect)
+    assert sorted(tuple(x)[2:] for x in furniture.cluster_rects(r, 5.0).collect()) == [(0.0, 0.0, 20.0, 10.0), (100.0, 100.0, 110.0, 110.0)]
+    v = spark.createDataFrame([("d", 1, 50.0, 100.0, 51.0, 300.0), ("d", 1, 400.0, 102.0, 401.0, 301.0), ("d", 1, 500.0, 0.0, 501.0, 50.0)], rect)
+    h = spark.createDataFrame([("d", 1, 48.0, 100.0, 402.0, 101.0)], rect)
+    pages = spark.createDataFrame([("d", 1, 600.0, 800.0)], "doc_id string, page int, width double, height double")
+    box = furniture.frames(v, h, pages)
+    assert [tuple(x)[2:] for x in box.collect()] == [(50.0, 100.0, 401.0, 301.0)]
+    assert furniture.outer_boxes(box.union(spark.createDataFrame([("d", 1, 60.0, 110.0, 90.0, 200.0)], rect))).count() == 1

@@ -441,3 +441,57 @@ def marker_dedup(marks: DataFrame) -> DataFrame:
 @query(None, boxes=BOXES, lines=BOX_LINES)
 def review_notes(boxes: DataFrame, lines: DataFrame) -> DataFrame:
     return review.notes(with_segments(boxes), lines)
+
+
+SHAPES = f"""SELECT l_orderkey AS doc_id, CAST(1 + l_suppkey % 2 AS INT) AS page, CAST({ORDERED} AS INT) AS seq, CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST(l_suppkey * 37 % 780 AS DOUBLE) AS y0,
+ CAST(l_partkey % 500 + CASE l_partkey % 3 WHEN 0 THEN 3 ELSE 4 * l_quantity END AS DOUBLE) AS x1, CAST(l_suppkey * 37 % 780 + CASE l_partkey % 3 WHEN 1 THEN 2 ELSE 5 * l_linenumber * l_linenumber END AS DOUBLE) AS y1,
+ CAST(600 AS DOUBLE) AS width, CAST(800 AS DOUBLE) AS height FROM {{lineitem}}"""
+
+
+@query(r"""SELECT doc_id, seq, 'image' AS kind FROM shapes WHERE x1 > x0 AND y1 > y0 AND (x1 - x0) * (y1 - y0) >= 0.0008 * 480000 AND NOT (y1 / 800 <= 0.07 OR y0 / 800 >= 0.93)
+UNION ALL SELECT doc_id, seq, 'rule' FROM shapes WHERE (x1 - x0 <= 24 AND y1 - y0 >= 144 OR y1 - y0 <= 32 AND x1 - x0 >= 108) AND (x1 > x0 OR y1 > y0)""", shapes=SHAPES)
+def shape_filters(shapes: DataFrame) -> DataFrame:
+    from vellum.operators import branding as B
+
+    return B.figure_images(shapes).select("doc_id", "seq", F.lit("image").alias("kind")).union(B.long_rules(shapes).select("doc_id", "seq", F.lit("rule")))
+
+
+@query(r""", c AS (SELECT * FROM shapes WHERE x1 - x0 >= 24 AND y1 - y0 >= 24 AND NOT (x1 - x0 >= 576 AND y1 - y0 >= 736)), t AS (SELECT doc_id, page, x0 * 6 AS x0, x1 * 6 AS x1, y0 * 8 AS y0, y1 * 8 AS y1 FROM lines),
+b AS (SELECT c.doc_id, c.seq FROM c JOIN t ON c.doc_id = t.doc_id AND c.page = t.page AND least(c.x1, t.x1) > greatest(c.x0, t.x0) AND least(c.y1, t.y1) > greatest(c.y0, t.y0) GROUP BY ALL
+  HAVING count(*) > 3 OR sum((least(c.x1, t.x1) - greatest(c.x0, t.x0)) * (least(c.y1, t.y1) - greatest(c.y0, t.y0))) / max((c.x1 - c.x0) * (c.y1 - c.y0)) > 0.18)
+SELECT doc_id, seq FROM c WHERE (doc_id, seq) NOT IN (SELECT doc_id, seq FROM b)""", shapes=SHAPES, lines=BOX_LINES)
+def figure_clusters(shapes: DataFrame, lines: DataFrame) -> DataFrame:
+    from vellum.operators import branding as B
+
+    scaled = lines.select("doc_id", "page", *[(F.col(c) * (6 if c[0] == "x" else 8)).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return B.figure_clusters(shapes.withColumnRenamed("seq", "cluster_seq"), scaled).select("doc_id", F.col("cluster_seq").alias("seq"))
+
+
+@query(r"""SELECT doc_id, regexp_matches(text, '(?i)android\s*app|ios\s*app|download\s*app|play\s*store|app\s*store') AS brand, list_has_any(list_transform(['play.google.com', 'apps.apple.com', 'itunes.apple.com', 'onelink.me', 'bit.ly', 'linktr.ee'], lambda h: contains(lower(uri), h)), [TRUE]) AS link,
+ regexp_matches(trim(text), '(?i)^(?:page\s*)?\d{1,3}\s*(?:/|of)\s*\d{1,3}$') AND (top <= 8 OR top + 2 >= 80) AS strip FROM rows_""",
+    rows_="SELECT page_id AS doc_id, CASE page_id % 5 WHEN 0 THEN 'Get the Android  App | x' WHEN 1 THEN concat(page_id % 90, ' of 99') WHEN 2 THEN concat('Page ', page_id % 90, '/99') WHEN 3 THEN 'appstore' ELSE url END AS text, CASE page_id % 3 WHEN 0 THEN concat(url, '?u=Bit.ly') WHEN 1 THEN url ELSE '' END AS uri, CAST(page_id % 100 AS DOUBLE) AS top FROM {pages}")
+def branding_lines(rows_: DataFrame) -> DataFrame:
+    from vellum.operators import branding as B
+
+    t = F.col("text")
+    return rows_.select("doc_id", B.is_branding_text(t).alias("brand"), B.is_branding_uri(F.col("uri")).alias("link"), B.is_margin_strip(t, F.col("top"), F.col("top") + 2).alias("strip"))
+
+
+@query("SELECT doc_id, answered, n FROM (SELECT doc_id, count(*) AS n, count(*) FILTER (answer <> '') AS answered FROM sheet GROUP BY ALL)", sheet="SELECT CAST(o_custkey AS STRING) AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN '' ELSE 'A' END AS answer FROM {orders}")
+def answered_count(sheet: DataFrame) -> DataFrame:
+    return answers.count_answered(sheet).select("doc_id", "answered", "n")
+
+
+@query("SELECT doc_id, CASE max(CASE status WHEN 'fail' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END AS verdict FROM checks GROUP BY ALL", checks="SELECT o_custkey AS doc_id, CASE WHEN o_orderkey % 11 = 0 THEN 'fail' WHEN o_orderkey % 3 = 0 THEN 'warn' ELSE 'pass' END AS status FROM {orders}")
+def preflight_verdicts(checks: DataFrame) -> DataFrame:
+    return preflight.verdicts(checks)
+
+
+@query("SELECT doc_id, arg_max(width, area * 1000000 - page) AS width, arg_max(height, area * 1000000 - page) AS height FROM (SELECT *, width * height AS area FROM pages) GROUP BY ALL", pages="SELECT p_size AS doc_id, p_partkey AS page, CAST(500 + p_partkey % 7 * 20 AS DOUBLE) AS width, CAST(700 + p_partkey % 5 * 30 AS DOUBLE) AS height FROM {part}")
+def largest_page(pages: DataFrame) -> DataFrame:
+    return preflight.largest_page(pages)
+
+
+@query("SELECT CASE WHEN is_solution THEN 'solutions' ELSE 'questions' END AS archive, file FROM files UNION ALL SELECT 'combined', file FROM files", files="SELECT concat('f', o_orderkey) AS file, o_custkey % 2 = 0 AS is_solution FROM {orders}")
+def archive_manifest(files: DataFrame) -> DataFrame:
+    return naming.archive_manifest(files)
