@@ -22,7 +22,7 @@ import numpy as np
 import regex
 
 END = 256  # the symbol that follows a word's last byte where the vocabulary marks word ends
-CACHE = 400_000  # entries that a cache holds before it starts anew
+CACHE = 400_000  # entries of a generation of a cache; the generation before is kept too
 
 
 def byte_chars() -> dict[str, int]:
@@ -225,6 +225,7 @@ class Encoder:
             self.automaton.labels[i] = text
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.form, self.words, self.chunks = form, {}, {}
+        self.old_words, self.old_chunks = {}, {}
         self.odd = regex.compile("[\x1c-\x1f]").search
         self.cut = regex.compile(r"[\t-\r \x85\xa0  -     　]+").split
 
@@ -253,10 +254,12 @@ class Encoder:
         open_rows = [i for i, x in enumerate(out) if None in x]
         if open_rows:
             missing = {c for i in open_rows for c, e in zip(cut[i], out[i], strict=True) if e is None}
-            if len(self.chunks) + len(missing) > CACHE:
-                self.chunks.clear()
-                missing = {c for x in cut for c in x}
-                open_rows = range(len(cut))
+            if len(self.chunks) > CACHE:
+                self.old_chunks, self.chunks = self.chunks, {}
+                missing, open_rows, get = {c for x in cut for c in x}, range(len(cut)), self.chunks.get
+            if again := missing & self.old_chunks.keys():
+                self.chunks.update(zip(again, map(self.old_chunks.__getitem__, again), strict=True))
+                missing -= again
             self.learn(missing)
             for i in open_rows:
                 out[i] = list(map(get, cut[i]))
@@ -268,13 +271,19 @@ class Encoder:
             missing = missing - special
             for x in special:
                 self.chunks[x] = self.form.one([self.special[x]], self.automaton.labels)
+        if not missing:
+            return
         order = list(missing)
         flat = self.split(self.normal("\n".join(order)))
         if len(self.words) > CACHE:
-            self.words.clear()
+            self.old_words, self.words = self.words, {}
         words, one, labels = self.words, self.form.one, self.automaton.labels
         words["\n"] = None
-        new = list(set(flat) - words.keys())
+        new = set(flat) - words.keys()
+        if again := new & self.old_words.keys():
+            words.update(zip(again, map(self.old_words.__getitem__, again), strict=True))
+            new -= again
+        new = list(new)
         for w, ids in zip(new, self.automaton.encode([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
             words[w] = one(ids, labels)
         many, at, chunks = self.form.many, 0, self.chunks

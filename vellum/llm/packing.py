@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vellum.llm.bpe import Bytes, encoder
 from vellum.llm.common import map_text, narrow
 
-SALTS = 512  # parts into which the pieces of one length are ranked
+SALTS = 128  # parts into which the pieces of one length are ranked
 
 
 def fullest(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
