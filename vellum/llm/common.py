@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -58,9 +59,24 @@ def ready(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder of spark.checkpoint.dir and read again: lineage is cut, columns stay compact."""
+    """df written as a table in the shared folder of spark.checkpoint.dir and read again: lineage is cut, columns stay compact.
+
+    What led to it is not needed again.
+    """
     ready(df)
-    sc = df.sparkSession.sparkContext
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no plan still to be run reads; also lets go of finished shuffles."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import map_text, narrow, stored
+from vellum.llm.common import discard, map_text, narrow, stored
 from vellum.llm.suffix_array import SuffixArray
 
 GRAM = 48
@@ -293,10 +293,13 @@ def repeated_spans(keyed: DataFrame, least: int, max_contexts: int = MAX_CONTEXT
     one = [F.first(c).alias(c) for c in ("k1", "at", "form")]
     distinct = stored(seen.groupBy("ah", "ch").agg(F.sum(F.col("form").bitwiseAND(3)).alias("n"), *one))
     many = distinct.groupBy("ah").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1").select("ah", (F.col("contexts") > max_contexts).alias("hot"))
-    wanted = distinct.join(many, "ah").select("ah", *_place(), (F.col("n") == 1).alias("single"), "hot")
-    contexts = stored(_cut_contexts(keyed, wanted))
+    wanted = stored(distinct.join(many, "ah").select("ah", *_place(), (F.col("n") == 1).alias("single"), "hot"))
     twice = distinct.where("n > 1").select("ah", "ch")
-    spans = [seen.join(twice, ["ah", "ch"]).select(*[c for i, c in enumerate(_place()) if i != 2]), _by_suffix_array(contexts.where("not hot"), least)]
+    copies = stored(seen.join(twice, ["ah", "ch"]).select(*[c for i, c in enumerate(_place()) if i != 2]))
+    discard(seen, distinct)  # the largest tables; what follows reads `wanted` and `copies`
+    contexts = stored(_cut_contexts(keyed, wanted))
+    discard(wanted)
+    spans = [copies, _by_suffix_array(contexts.where("not hot"), least)]
     if contexts.where("hot").limit(1).count():
         spans += _by_halving(contexts.where("hot"), least)
     out = spans[0]
