@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,35 +68,41 @@ def noisy_or(z: np.ndarray) -> float:
     return float(-np.expm1(-np.logaddexp(0, np.clip(z, -30, 30)).sum()))
 
 
-def fit_bags(texts: list[str | None], y: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 5e-5, least: int = 8) -> Model:
+def fit_bags(texts: Iterable[str | None], y: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 5e-5, least: int = 8) -> Model:
     """Weights by Adam on the mean log loss of the noisy-or; a feature must be in `least` texts."""
     places: dict[str, int] = {}
-    word, bag, ends = [], [], []
+    word, bag, ends = array("i"), array("i"), array("b")  # compact, as the driver holds them
     for i, t in enumerate(texts):
-        for x in tokens(t):
-            word.append(places.setdefault(x, len(places)))
-            bag.append(i)
-            ends.append(x == BREAK or bool(_END(x)))
-        if bag and bag[-1] == i:
-            ends[-1] = True
+        found = tokens(t)
+        word.extend([places.setdefault(x, len(places)) for x in found])
+        bag.extend([i] * len(found))
+        ends.extend([x == BREAK or bool(_END(x)) for x in found])
+        if found:
+            ends[-1] = 1
     if not word or len(set(y.tolist())) < 2:
         return Model(np.zeros(SIZE, np.float32), -4.0)
-    word, bag = np.array(word), np.array(bag)
-    sentence = sentence_of(np.array(ends))
-    bag_of = np.zeros(sentence[-1] + 1, np.int64)
+    word, bag = np.frombuffer(word, np.int32), np.frombuffer(bag, np.int32)
+    sentence = sentence_of(np.frombuffer(ends, np.int8) > 0).astype(np.int32)
+    bag_of = np.zeros(sentence[-1] + 1, np.int32)
     bag_of[sentence] = bag
-    lists = [word_features(w) if w != BREAK else [] for w in places]
-    size = np.array([len(x) for x in lists])
-    feature, owner = np.array([f for x in lists for f in x], np.int64), np.repeat(np.arange(len(lists)), size)
-    pairs = np.unique(bag * len(lists) + word)  # the words of each text, once
-    in_texts = np.bincount(feature, np.bincount(pairs % len(lists), minlength=len(lists))[owner], SIZE)
+    n_words, size, feature = len(places), array("i"), array("i")
+    for w in places:
+        own = word_features(w) if w != BREAK else []
+        feature.extend(own)
+        size.append(len(own))
+    del places
+    feature, owner = np.frombuffer(feature, np.int32), np.repeat(np.arange(n_words, dtype=np.int32), size)
+    pairs = np.unique(bag.astype(np.int64) * n_words + word)  # the words of each text, once
+    in_texts = np.bincount(feature, np.bincount(pairs % n_words, minlength=n_words)[owner], SIZE)
+    del pairs
     keep = in_texts[feature] >= least
     feature, owner = feature[keep], owner[keep]
     own, feature = np.unique(feature, return_inverse=True)
+    feature = feature.astype(np.int32)
     w, bias = np.zeros(len(own)), -4.0
     m, v, t = np.zeros(len(own) + 1), np.zeros(len(own) + 1), 0
     for _ in range(rounds):
-        of_word = np.bincount(owner, w[feature], len(lists))
+        of_word = np.bincount(owner, w[feature], n_words)
         z = np.bincount(sentence, of_word[word], len(bag_of)) + bias
         z = np.clip(z, -30, 30)
         clean = np.bincount(bag_of, np.logaddexp(0, z), len(y))  # -log of the chance that none is toxic
@@ -102,7 +110,7 @@ def fit_bags(texts: list[str | None], y: np.ndarray, rounds: int = 150, rate: fl
         toxic = np.maximum(-np.expm1(-clean), 1e-9)
         # d loss / d z: p where the label is 0, -p (1 - P) / P where it is 1
         g = p * np.where(y == 1, -(1 - toxic) / toxic, 1.0)[bag_of]
-        g_word = np.bincount(word, g[sentence], len(lists))
+        g_word = np.bincount(word, g[sentence], n_words)
         grad = np.append(np.bincount(feature, g_word[owner], len(own)) / len(y) + decay * w, g.sum() / len(y))
         t += 1
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
@@ -118,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0,
     docs = narrow(docs, "doc_id", "text")
     chosen = F.broadcast(sample(training(labels, "toxic", divisor, held_out), max_fit or MAX_FIT))
     table = docs.join(chosen, "doc_id").select("doc_id", "text", "y").toArrow().sort_by("doc_id")
-    return fit_bags(table.column("text").to_pylist(), np.array(table.column("y").to_pylist(), np.int64))
+    return fit_bags((x.as_py() for x in table.column("text")), np.array(table.column("y").to_pylist(), np.int64))
 
 
 class Scorer(dict):
