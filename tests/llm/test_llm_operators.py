@@ -175,6 +175,23 @@ def test_similar_texts_stay_once(spark):
     assert simhash.keep_one(df).where("doc_id is null").count() == 1
 
 
+def text_pairs(rng, n, changed):
+    """Pairs of texts of 150 words of which the last `changed` differ: 146 - changed of their 146 shingles are shared."""
+    out = []
+    for _ in range(n):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
+        out += [" ".join(w), " ".join([*w[:-changed], *("".join(rng.choice("ijklmn") for _ in range(6)) for _ in range(changed))])]
+    return out
+
+
+def test_near_copies_with_distant_fingerprints_stay_once(spark):
+    texts = text_pairs(random.Random(12), 60, 16)  # 130 of 162 shingles: 0.802
+    fp = [simhash.fingerprint(t, 5) for t in texts]
+    assert sum((a ^ b).bit_count() > 13 for a, b in zip(fp[::2], fp[1::2], strict=True)) > 2
+    df = ready(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == list(range(0, 120, 2))
+
+
 def removed_by_hand(rows, least):
     data = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(b[i : i + least] for b in data for i in range(len(b) - least + 1))

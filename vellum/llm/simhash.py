@@ -11,15 +11,16 @@ already tied to the searcher are skipped, so a dense group costs about its size
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 from functools import partial
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import map_text, narrow
+from vellum.llm.common import discard, map_text, narrow, stored
 from vellum.llm.components import components
 
 FAN = 8
@@ -75,18 +76,40 @@ def min_lists(h: np.ndarray) -> list[int]:
     return [int((np.uint64(i + 1) * mins[a] + (mins[b] ^ mins[b] >> np.uint64(29)) * np.uint64(MINS[2])).astype(np.int64)) for i, (a, b) in enumerate(PAIRS)]
 
 
-def fingerprints_with_lists(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, lists): fingerprints, and the lists in which similar texts meet."""
+def shingle_set(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """The different shingle hashes in rising order."""
+    return np.unique(shingle_hashes(text, words, seed))
+
+
+def sketches(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
+    """(k1, k2, doc_id, fp, node, lists): the fingerprint of each row's shingle set, a hash of the set, and the lists in which similar sets meet."""
+    make = partial(shingle_set, words=words, seed=seed)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = [shingle_hashes(t, words, seed) for t in part.column("text").to_pylist()]
-        fp = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+        import xxhash
+
+        sets = [make(t) for t in part.column("text").to_pylist()]
+        fp = np.array([majority(h) for h in sets], np.uint64).view(np.int64)
+        node = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
         with np.errstate(over="ignore"):
-            lists = [min_lists(h) for h in hashes]
-        return pa.record_batch([part.column("doc_id"), pa.array(fp), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "fp", "lists"])
+            lists = [min_lists(h) for h in sets]
+        return pa.record_batch([*(part.column(c) for c in ("k1", "k2", "doc_id")), pa.array(fp), pa.array(node), pa.array(lists, pa.list_(pa.int64()))], ["k1", "k2", "doc_id", "fp", "node", "lists"])
 
-    docs = narrow(docs, "doc_id", "text")
-    return map_text(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, lists array<long>")
+    return map_text(docs, run, f"k1 long, k2 int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, node long, lists array<long>")
+
+
+def shingle_sets(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
+    """(node, n, h): each row's shingle set, its hash and its size."""
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        import xxhash
+
+        sets = [shingle_set(t, words, seed) for t in part.column("text").to_pylist()]
+        node = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+        n = np.array([len(h) for h in sets], np.int64)
+        return pa.record_batch([pa.array(node), pa.array(n), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["node", "n", "h"])
+
+    return map_text(docs, run, "node long, n long, h array<long>")
 
 
 def blocks(k: int) -> list[int]:
@@ -255,17 +278,99 @@ def _named(made: DataFrame, ties: DataFrame) -> DataFrame:
     return made.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def bits_at(similarity: float) -> int:
+    """The bits that fingerprints of sets with this Jaccard similarity differ in at most: the mean and six sigma (26 at 0.8)."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(64 * p + 6 * math.sqrt(64 * p * (1 - p)))
+
+
+def postings(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(h, node, n, pos): the shingles, rarest first, of which two sets with a Jaccard similarity of num / den share one.
+
+    A set of n shingles needs num / den of them in common with the other, so one of the first n - ceil(n num / den) + 1
+    is. pos is the shingle's place in the set; shingles that are in one set only come first and are left out.
+    """
+    each = sets.select("node", "n", F.explode("h").alias("h"))
+    counts = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    of = Window.partitionBy("node")
+    place = F.col("n") - F.count("*").over(of) + F.row_number().over(of.orderBy("c", "h")) - 1
+    return each.join(counts, "h").select("h", "node", "n", place.alias("pos")).where(f"(n - pos) * {den} >= n * {num}")
+
+
+def pairs(rows: DataFrame, low: int, high: int, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of different labels, `low` to `high` - 1 places apart within a shingle of rows (h, node, n, pos, label), that can be similar.
+
+    The first shingle that two sets share has all they share behind it in both, so pairs with too few there are left out.
+    """
+
+    def run(batches):
+        parts = [[b.column(c).to_numpy() for c in ("h", "node", "n", "pos", "label")] for b in batches]
+        if not parts:
+            return
+        h, node, n, pos, label = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((node, n, h))
+        h, node, n, pos, label = (x[order] for x in (h, node, n, pos, label))
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff([*first, len(h)])
+        start, end = np.repeat(first, size), np.repeat(first + size, size)
+        # every pair has a row whose label is not the commonest of its shingle
+        label = np.unique(label, return_inverse=True)[1]
+        both, at, count = np.unique(start * (label.max() + 1) + label, return_inverse=True, return_counts=True)
+        most = np.lexsort((count, both // (label.max() + 1)))
+        most = most[np.concatenate([np.diff(both[most] // (label.max() + 1)) > 0, [True]])]
+        rest = np.flatnonzero(~np.isin(at, most))
+        for off in range(low, high):
+            rest = rest[end[rest] - start[rest] > off]
+            if not len(rest):
+                break
+            q, j = np.concatenate([rest, rest]), np.concatenate([rest - off, rest + off])
+            go = (j >= start[q]) & (j < end[q])
+            q, j = q[go], j[go]
+            go = (label[q] != label[j]) & (np.minimum(n[q] - pos[q], n[j] - pos[j]) * (num + den) >= num * (n[q] + n[j]))
+            q, j = q[go], j[go]
+            found = np.unique(np.stack([np.minimum(node[q], node[j]), np.maximum(node[q], node[j])], 1), axis=0)
+            yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return rows.repartition("h").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b) of which the sets have a Jaccard similarity of num / den or more."""
+    one, other = (sets.select(F.col("node").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
+    same = F.size(F.array_intersect("ha", "hb"))
+    return found.join(one, "a").join(other, "b").where(same * (num + den) >= num * (F.size("ha") + F.size("hb"))).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """As groups(), linking texts whose fingerprints put the cosine of their shingle sets at `similarity` or more.
+    """(node, root, first): each different shingle set, the component that it is in, and the least doc_id that has it.
 
-    That allows 64 arccos(similarity) / pi bits (13 at 0.8), too many for blocks of bits; candidates meet in lists by
-    pairs of min-wise hashes of their shingles instead. Two texts that share four fifths of their shingles miss all
-    twelve lists with a chance of about 5 in a million.
+    Sets are tied if their Jaccard similarity is `similarity` or more, which is decided by the sets themselves. Lists by
+    pairs of min-wise hashes, searched through the Gray-order index with a wide bound of bits, only name the sets that
+    may have a fellow. Among these, pairs come from shared rare shingles, neighbours first; what is by then tied is not
+    compared, so a dense group costs about its size.
     """
-    k = int(64 * math.acos(similarity) / math.pi)
-    made = fingerprints_with_lists(docs, words, seed).checkpoint()
+    num, den = Fraction(str(similarity)).as_integer_ratio()
+    docs = narrow(docs, "doc_id", "text").select(F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"), "doc_id", "text")
+    made = sketches(docs, words, seed).checkpoint()
     rows = made.select("fp", F.posexplode("lists").alias("block", "bits")).distinct()
-    return _named(made.select("doc_id", "fp"), links(rows, k))
+    ties = links(rows, bits_at(similarity)).checkpoint()
+    nodes = made.groupBy("fp", "node").agg(F.min(F.struct("k1", "k2")).alias("k"), F.min("doc_id").alias("first")).checkpoint()
+    near = ties.select(F.col("a").alias("fp")).union(ties.select("b")).union(nodes.groupBy("fp").count().where("count > 1").select("fp")).distinct()
+    chosen = nodes.join(near, "fp", "left_semi").select("k.k1", "k.k2")
+    sets = stored(shingle_sets(docs.join(chosen.hint("shuffle_hash"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), words, seed))
+    left = postings(sets, num, den).withColumn("label", F.col("node")).checkpoint()
+    root, low, high = None, 1, 5
+    while not left.isEmpty():
+        found = similar(pairs(left, low, high, num, den), sets, num, den)
+        root = components(found if root is None else found.union(root.select("node", "root"))).checkpoint()
+        left = left.drop("label").join(root, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("label"))
+        open_ = left.groupBy("h").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where(f"m > {high} and x != y")
+        left = left.join(open_, "h", "left_semi").checkpoint()
+        low, high = high, 8 * high
+    discard(sets)
+    if root is None:
+        return nodes.select("node", F.col("node").alias("root"), "first")
+    return nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -274,7 +379,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     Rows without doc_id have nothing to be told apart by and stay.
     """
     found = similar_groups(docs.where("doc_id is not null"), words, similarity)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = found.groupBy("root").agg(F.min("first").alias("doc_id")).select("doc_id").distinct()
     first = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return first.select(docs.columns).union(docs.where("doc_id is null"))
 
