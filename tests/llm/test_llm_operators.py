@@ -192,6 +192,14 @@ def test_near_copies_with_distant_fingerprints_stay_once(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == list(range(0, 120, 2))
 
 
+def test_texts_below_the_similarity_all_stay(spark):
+    texts = [t for k in (17, 22, 34, 49) for t in text_pairs(random.Random(k), 15, k)]  # 0.791 down to 0.497
+    fp = [simhash.fingerprint(t, 5) for t in texts]
+    assert sum((a ^ b).bit_count() <= 13 for a, b in zip(fp[::2], fp[1::2], strict=True)) > 20
+    df = ready(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert simhash.keep_one(df).count() == len(texts)
+
+
 def removed_by_hand(rows, least):
     data = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(b[i : i + least] for b in data for i in range(len(b) - least + 1))
