@@ -200,6 +200,18 @@ def test_texts_below_the_similarity_all_stay(spark):
     assert simhash.keep_one(df).count() == len(texts)
 
 
+def test_similar_sets_miss_all_lists_as_seldom_as_independent_lists_would():
+    rng, missed = np.random.default_rng(13), 0
+    for _ in range(4000):
+        h = rng.integers(0, 2**64, 40, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            a, b = simhash.min_lists(h[:30]), simhash.min_lists(h[10:])  # 20 of 40: 0.5
+        missed += not any(x == y for x, y in zip(a, b, strict=True))
+    assert len({i for p in simhash.PAIRS for i in p}) == 2 * len(simhash.PAIRS)
+    want = 4000 * (1 - 0.5**2) ** len(simhash.PAIRS)
+    assert abs(missed - want) < 5 * want**0.5, (missed, want)
+
+
 def removed_by_hand(rows, least):
     data = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(b[i : i + least] for b in data for i in range(len(b) - least + 1))
