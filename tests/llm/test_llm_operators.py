@@ -212,6 +212,13 @@ def test_similar_sets_miss_all_lists_as_seldom_as_independent_lists_would():
     assert abs(missed - want) < 5 * want**0.5, (missed, want)
 
 
+def test_rows_with_shared_or_no_doc_id_are_told_apart(spark):
+    a, near, b, c = (*text_pairs(random.Random(14), 1, 2), *text_pairs(random.Random(15), 1, 150))
+    rows = [(1, a), (2, near), (2, b), (2, b), (None, c), (None, c), (None, b), (None, None), (None, "")]
+    got = simhash.keep_one(ready(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(1, a), (2, b), (0, c), (0, "")])
+
+
 def removed_by_hand(rows, least):
     data = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(b[i : i + least] for b in data for i in range(len(b) - least + 1))

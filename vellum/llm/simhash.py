@@ -279,6 +279,10 @@ def _named(made: DataFrame, ties: DataFrame) -> DataFrame:
     return made.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def row_key() -> list[Column]:
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2")]
+
+
 def bits_at(similarity: float) -> int:
     """The bits that fingerprints of sets with this Jaccard similarity differ in at most: the mean and six sigma (26 at 0.8)."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -343,7 +347,9 @@ def similar(found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """(node, root, first): each different shingle set, the component that it is in, and the least doc_id that has it.
+    """(node, root, first): each different shingle set, the component that it is in, and the least row (none, doc_id, k1, k2) that has it.
+
+    Rows without doc_id come after the others.
 
     Sets are tied if their Jaccard similarity is `similarity` or more, which is decided by the sets themselves. Lists by
     pairs of min-wise hashes, searched through the Gray-order index with a wide bound of bits, only name the sets that
@@ -351,13 +357,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, see
     compared, so a dense group costs about its size.
     """
     num, den = Fraction(str(similarity)).as_integer_ratio()
-    docs = narrow(docs, "doc_id", "text").select(F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"), "doc_id", "text")
+    docs = narrow(docs, "doc_id", "text").select(*row_key(), "doc_id", "text")
     made = sketches(docs, words, seed).checkpoint()
     rows = made.select("fp", F.posexplode("lists").alias("block", "bits")).distinct()
     ties = links(rows, bits_at(similarity)).checkpoint()
-    nodes = made.groupBy("fp", "node").agg(F.min(F.struct("k1", "k2")).alias("k"), F.min("doc_id").alias("first")).checkpoint()
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    nodes = made.groupBy("fp", "node").agg(F.min(row).alias("first")).checkpoint()
     near = ties.select(F.col("a").alias("fp")).union(ties.select("b")).union(nodes.groupBy("fp").count().where("count > 1").select("fp")).distinct()
-    chosen = nodes.join(near, "fp", "left_semi").select("k.k1", "k.k2")
+    chosen = nodes.join(near, "fp", "left_semi").select("first.k1", "first.k2")
     sets = stored(shingle_sets(docs.join(chosen.hint("shuffle_hash"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), words, seed))
     left = postings(sets, num, den).withColumn("label", F.col("node")).checkpoint()
     root, low, high = None, 1, 5
@@ -375,14 +382,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, see
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row, with all its columns, of each group of similar texts: that with the least doc_id; repeated doc_ids stay once.
+    """One row, with all its columns, of each group of similar texts: that with the least doc_id, or without one if none has any.
 
-    Rows without doc_id have nothing to be told apart by and stay.
+    Rows are told apart by hashes of doc_id and text, so different texts under one doc_id are different rows.
     """
-    found = similar_groups(docs.where("doc_id is not null"), words, similarity)
-    kept = found.groupBy("root").agg(F.min("first").alias("doc_id")).select("doc_id").distinct()
-    first = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.select(docs.columns).union(docs.where("doc_id is null"))
+    kept = similar_groups(docs, words, similarity).groupBy("root").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+    keyed = docs.select("*", *row_key())
+    return keyed.join(kept.hint("shuffle_hash"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(docs.columns)
 
 
 def as_hex(fp: Column) -> Column:
