@@ -455,5 +455,65 @@ def test_pipeline(spark):
     assert len({r.doc_id for r in P.packed(spark, once, "").collect()}) == 40
 
 
+def similar_by_hand(texts):
+    """For each text the first of its component of all ties of Jaccard 0.8 or more between sets of five-word shingles."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if label[i] != label[j] and 5 * same >= 4 * (len(sets[i]) + len(sets[j]) - same):
+                x, y = sorted((label[i], label[j]))
+                label = [x if k == y else k for k in label]
+    return label
+
+
+def spread_texts(rng, word, families, each):
+    """Families of texts of 110 words around one, with 0 to 40 words changed: similarities from 1.0 down."""
+    out = []
+    for _ in range(families):
+        base = [word() for _ in range(110)]
+        for k in range(each):
+            w = list(base)
+            for at in rng.sample(range(110), rng.choice([0, 1, 2, 3, 4, 6, 9, 14, 40])):
+                w[at] = word()
+            out.append(" ".join(w + [word() for _ in range(rng.choice([0, 0, 5, 20]))]))
+    return out
+
+
+def test_near_duplicates_are_the_exact_components(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(16)
+    texts = spread_texts(rng, lambda: "".join(rng.choice("abcdefgh") for _ in range(6)), 12, 6) + spread_texts(rng, lambda: "".join(rng.choice("abcdefgh") for _ in range(6)), 1, 60)
+    df = ready(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long"))
+    assert sorted(r.doc_id for r in P.near_duplicates(spark, df, "").collect()) == sorted(set(similar_by_hand(texts)))
+
+
+def test_run_does_every_stage(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(17)
+    word = lambda: rng.choice(["the", "of", "and", "in", "to"]) if rng.random() < 0.3 else "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    bad_word = lambda: rng.choice(["cheap", "offer", "clickhere", "winner"]) if rng.random() < 0.3 else word()
+    good, bad = spread_texts(rng, word, 30, 5), [" ".join(bad_word() for _ in range(110)) for _ in range(100)]
+    texts = [*good, *bad, "### " * 90, "too short"]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < len(good)), 0) for i in range(len(good) + len(bad))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = sorted(set(similar_by_hand(good)))
+    data = [good[i].encode() for i in kept]
+    seen = collections.Counter(b[i : i + 200] for b in data for i in range(len(b) - 199))
+    tk, want = Tokenizer.from_file(WORD), {}
+    for d, b in zip(kept, data, strict=True):
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        ids = [*tk.encode(bytes(x for x, g in zip(b, gone, strict=True) if not g).decode(), add_special_tokens=False).ids, 1]
+        want[d] = len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
+    got = P.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+
+
 def test_flags_come_as_columns(spark, docs):
     assert quality_rules.judge(docs).select(F.col("kept")).schema[0].dataType.simpleString() == "boolean"
