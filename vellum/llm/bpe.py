@@ -6,23 +6,32 @@ are laid beside every u arc to where v used to lead. All arcs of a token share o
 the token that leads to it, and it differs by the arcs that gadgets took: `gone` maps (u, v) to the gadget's rank.
 Target of w starts as v's target of that time, so a state's full list of lost arcs is its own and, up to the rank
 at which it was split off, that of its right part; an arc w exists where its left part's arc did when w came.
-A string has one accepting path, found by a table-driven sweep that runs over many words at once; decoding emits
-the labels of the path's arcs.
+
+The table of all (state, token) pairs would hold billions, nearly all of which no text asks for. It is therefore filled
+as states are entered: the first time that a pair is met the gadgets say whether the arc is there, and from then on the
+table does. What bytes a token is spelled with is a second table, a trie in one array of (state, symbol) transitions.
+A string has one accepting path; a sweep over both tables finds it for many words at once, and decoding emits the labels
+of the path's arcs.
 """
 
 from __future__ import annotations
 
-import functools
 import json
 import unicodedata
-from array import array
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 import regex
 
+from vellum.llm.common import worker_own
+from vellum.llm.cut import WHITE, Store, Texts, strings
+
 END = 256  # the symbol that follows a word's last byte where the vocabulary marks word ends
-CACHE = 400_000  # entries of a generation of a cache; the generation before is kept too
+STOP = 257  # the symbol that follows it elsewhere; no token is spelled with it
+WORDS, CHUNKS = 400_000, 700_000  # what a worker keeps
+ARCS = 1 << 20  # pairs that the arc table holds before it is emptied
+STEP = 1 << 18  # symbols that are swept at once
 
 
 def byte_chars() -> dict[str, int]:
@@ -32,18 +41,112 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Trie:
+    """Spellings as one array of transitions: state s goes by symbol c to base[s] + c if owner[that] is s; state 0 is the root."""
+
+    def __init__(self, spellings: list[tuple[list[int], int]]):
+        rows: list[dict[int, int]] = [{}]
+        token_at = [-1]
+        for symbols, token in spellings:
+            node = 0
+            for sym in symbols:
+                nxt = rows[node].get(sym)
+                if nxt is None:
+                    nxt = rows[node][sym] = len(rows)
+                    rows.append({})
+                    token_at.append(-1)
+                node = nxt
+            token_at[node] = token
+        size = 2 * len(rows) + 4 * (STOP + 1)
+        taken, place, base = bytearray(size), [0] * len(rows), [0] * len(rows)
+        taken[0] = 1
+        # the widest rows first; rows of one width go on from the place of the last, so that no place is tried for ever
+        width, at = 0, 0
+        for n in sorted((n for n, row in enumerate(rows) if row), key=lambda n: -len(rows[n])):
+            symbols = sorted(rows[n])
+            if width != len(symbols):
+                width, at = len(symbols), STOP + 1
+            while True:
+                at = taken.find(0, at)
+                if at < 0 or at + STOP >= len(taken):
+                    taken.extend(bytes(len(taken)))
+                    at = max(at, STOP + 1)
+                    continue
+                b = at - symbols[0]
+                if not any(taken[b + s] for s in symbols[1:]):
+                    break
+                at += 1
+            base[n] = b
+            for s in symbols:
+                taken[b + s] = 1
+                place[rows[n][s]] = b + s
+        size = len(taken)
+        self.base, self.owner, self.token = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        slots = np.array(place)
+        self.base[slots], self.token[slots] = base, token_at
+        for n, row in enumerate(rows):
+            for child in row.values():
+                self.owner[place[child]] = place[n]
+
+
+class Arcs:
+    """The (state, token) table, open addressed: the key and, in its lowest bit, whether the arc is there."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.n = bits, 0
+        self.cells = np.full(1 << bits, -1, np.int64)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """1, 0 or, for a pair not met before, -1."""
+        slot = self._slot(key)
+        held = self.cells[slot]
+        out = np.where(held >> 1 == key, held & 1, -1)
+        at = np.flatnonzero((held >= 0) & (held >> 1 != key))
+        while len(at):
+            slot[at] = slot[at] + 1 & len(self.cells) - 1
+            held = self.cells[slot[at]]
+            hit = held >> 1 == key[at]
+            out[at[hit]] = held[hit] & 1
+            at = at[(held >= 0) & ~hit]
+        return out
+
+    def add(self, key: np.ndarray, there: np.ndarray) -> None:
+        """Keeps pairs that differ and aren't held."""
+        if self.n + len(key) > ARCS:
+            self.__init__()
+        while 2 * (self.n + len(key)) > len(self.cells):
+            old = self.cells[self.cells >= 0]
+            self.__init__(self.bits + 1)
+            self._put(old)
+        self._put(key << 1 | there)
+
+    def _put(self, cells: np.ndarray) -> None:
+        self.n += len(cells)
+        slot = self._slot(cells >> 1)
+        while len(cells):
+            first = np.unique(slot, return_index=True)[1]
+            first = first[self.cells[slot[first]] < 0]
+            self.cells[slot[first]] = cells[first]
+            rest = np.ones(len(cells), bool)
+            rest[first] = False
+            cells, slot = cells[rest], slot[rest] + 1 & len(self.cells) - 1
+
+
 class Automaton:
-    """Tables of the token automaton and a trie of the tokens that it can emit."""
+    """Tables of the token automaton and of the tokens' spellings."""
 
     def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], suffix: str | None):
         self.suffix, size = suffix, max(vocab.values()) + 1
         created, left, right = [-1] * size, [-1] * size, [-1] * size
         gone: dict[tuple[int, int], int] = {}
         dead = [False] * size
+        merges = list(merges)
 
-        def has_arc(u: int, t: int) -> bool:
-            """Whether the state after u has an arc t so far."""
-            limit = len(merges)
+        def has_arc(u: int, t: int, limit: int) -> bool:
+            """Whether the state after u has an arc t once `limit` gadgets were applied."""
             while True:
                 if gone.get((u, t), limit) < limit:
                     return False
@@ -54,277 +157,204 @@ class Automaton:
                 else:
                     return True
 
-        merges = list(merges)
         for k, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            if created[w] >= 0 or dead[u] or dead[v] or not has_arc(u, v):
+            if created[w] >= 0 or dead[u] or dead[v] or not has_arc(u, v, len(merges)):
                 dead[w] = created[w] < 0
                 continue
             gone[u, v] = k
             created[w], left[w], right[w] = k, u, v
-        self.created, self.left, self.right = (np.array(x, np.int32) for x in (created, left, right))
-        self._hash(gone)
+        self.size, self.n_gadgets, self._has_arc = size, len(merges), has_arc
+        self.arcs = Arcs()
         self.labels = [""] * size
-        chars = byte_chars()
-        rows: list[dict[int, int]] = [{}]
-        token_at = [-1]
+        chars, spellings = byte_chars(), []
         for text, i in vocab.items():
             self.labels[i] = text
             ends = suffix is not None and text.endswith(suffix) and len(text) > len(suffix)
             body = text[: -len(suffix)] if ends else text
-            if dead[i] or created[i] < 0 and len(body) != 1 or any(c not in chars for c in body):
-                continue
-            node = 0
-            for sym in [*(chars[c] for c in body), *([END] if ends else [])]:
-                nxt = rows[node].get(sym)
-                if nxt is None:
-                    nxt = rows[node][sym] = len(rows)
-                    rows.append({})
-                    token_at.append(-1)
-                node = nxt
-            token_at[node] = i
-        self.token_at = np.array(token_at, np.int32)
-        self.trie = np.full((len(rows), 257), -1, np.int32)
-        for n, row in enumerate(rows):
-            if row:
-                self.trie[n, list(row)] = list(row.values())
-
-    def _hash(self, gone: dict[tuple[int, int], int]) -> None:
-        """Lays `gone` out as an open hash table."""
-        bits = max(8, (4 * len(gone)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.keys = np.full(1 << bits, -1, np.int64)
-        self.ranks = np.full(1 << bits, 1 << 30, np.int32)
-        keys = np.array([u << 32 | v for u, v in gone], np.int64)
-        ranks = np.array(list(gone.values()), np.int32)
-        slot = self._slot(keys)
-        self.probes = 0
-        while len(keys):
-            self.probes += 1
-            first = np.unique(slot, return_index=True)[1]
-            first = first[self.keys[slot[first]] < 0]
-            self.keys[slot[first]], self.ranks[slot[first]] = keys[first], ranks[first]
-            rest = np.ones(len(keys), bool)
-            rest[first] = False
-            keys, ranks, slot = keys[rest], ranks[rest], slot[rest] + 1 & len(self.keys) - 1
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
-    def rank(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """The rank of the gadget that took arc v from u's own state, or a number above all ranks."""
-        key = u.astype(np.int64) << 32 | v
-        slot = self._slot(key)
-        held = self.keys[slot]
-        out = np.where(held == key, self.ranks[slot], 1 << 30)
-        at = np.flatnonzero((held != key) & (held >= 0))
-        for _ in range(self.probes - 1):
-            if not len(at):
-                break
-            s = slot[at] = slot[at] + 1 & len(self.keys) - 1
-            hit = self.keys[s] == key[at]
-            out[at[hit]] = self.ranks[s[hit]]
-            at = at[~hit & (self.keys[s] >= 0)]
-        return out
+            if not (dead[i] or created[i] < 0 and len(body) != 1 or any(c not in chars for c in body)):
+                spellings.append(([*(chars[c] for c in body), *([END] if ends else [])], i))
+        self.trie = Trie(spellings)
 
     def allowed(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Whether the state after each token `state` (-1: the start) has an arc `token`."""
-        out = np.ones(len(state), bool)
-        at = np.flatnonzero(state >= 0)
-        u, t = state[at], token[at]
-        limit = np.full(len(at), (1 << 30) - 1, np.int32)
-        while len(at):
-            no = self.rank(u, t) < limit
-            out[at[no]] = False
-            cu, ct = self.created[u], self.created[t]
-            back = cu > ct
-            limit = np.where(back, cu, ct + 1)
-            go = ~no & (np.maximum(cu, ct) >= 0)
-            u, t = np.where(back, self.right[u], u)[go], np.where(back, t, self.left[t])[go]
-            at, limit = at[go], limit[go]
-        return out
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Each word's tokens; an empty word has none."""
-        out: list[list[int]] = [[]] * len(words)
+        """Whether the state after each token `state` has an arc `token`: by the table, which pairs new to it are added to."""
+        key = state.astype(np.int64) * self.size + token
+        out = self.arcs.find(key)
+        open_ = np.flatnonzero(out < 0)
+        if len(open_):
+            new, back = np.unique(key[open_], return_inverse=True)
+            there = np.array([self._has_arc(k // self.size, k % self.size, self.n_gadgets) for k in new.tolist()], np.int64)
+            self.arcs.add(new, there)
+            out[open_] = there[back]
+        return out > 0
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one behind the other, and how many each has; an empty word has none."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(size, kind="stable")
-        order = order[size[order] > 0]
-        i = 0
-        while i < len(order):
-            most = 8
-            while most < size[order[i]]:
-                most *= 2
-            j = int(np.searchsorted(size[order], most, side="right"))
-            step = max(1, (1 << 21) // most)
-            for k in range(i, j, step):
-                part = order[k : min(k + step, j)]
-                for at, ids in zip(part.tolist(), self._encode([words[x] for x in part], size[part]), strict=True):
-                    out[at] = ids
+        ids, count, i = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        ends = np.cumsum(size + 1)
+        while i < len(words):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + STEP, side="right")))
+            some = self._sweep(b"\xff".join(words[i:j]), size[i:j])
+            ids.append(some[0])
+            count.append(some[1])
             i = j
-        return out
-
-    def _encode(self, words: list[bytes], size: np.ndarray) -> list[list[int]]:
-        n, most = len(words), int(size.max())
-        ends = self.suffix is not None
-        text = np.full((n, most + 1), -1, np.int16)
-        text[np.arange(most + 1) < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
-        if ends:
-            text[np.arange(n), size] = END
-        total = size + ends
-        token = np.full((n, most + 2), -1, np.int32)
-        begin = np.zeros((n, most + 2), np.int32)
-        for i in range(most):
-            rows = np.flatnonzero((i < size) & ((token[:, i] >= 0) | (i == 0)))
-            node, pos = np.zeros(len(rows), np.int32), i
-            while len(rows) and pos <= most:
-                sym = text[rows, pos]
-                node = np.where(sym >= 0, self.trie[node, sym], -1)
-                go = node >= 0
-                rows, node = rows[go], node[go]
-                pos += 1
-                got = self.token_at[node]
-                can = np.flatnonzero((got >= 0) & ((pos != size[rows]) | (not ends)))
-                if len(can):
-                    r, t = rows[can], got[can]
-                    ok = self.allowed(token[r, i], t)
-                    r, t = r[ok], t[ok]
-                    token[r, pos], begin[r, pos] = t, i
-        steps, pos, rows = [], total.astype(np.int64), np.arange(n)
-        if (token[rows, pos] < 0).any():
+        return np.concatenate(ids), np.concatenate(count)
+
+    def _sweep(self, joined: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        trie, marked = self.trie, self.suffix is not None
+        first = np.cumsum(size + 1) - size - 1
+        stop = first + size
+        sym = np.append(np.frombuffer(joined, np.uint8).astype(np.int16), np.zeros(2, np.int16))[: int(stop[-1]) + 1] if len(joined) else np.zeros(int(stop[-1]) + 1, np.int16)
+        sym[stop] = END if marked else STOP
+        n = len(sym)
+        closing = sym >= END
+        # every spelling that starts anywhere: (start, end, token); no token ends where a word's end mark must follow
+        start = np.flatnonzero(~closing).astype(np.int32)
+        node, at = np.zeros(len(start), np.int32), start
+        found = []
+        while len(start):
+            to = trie.base[node] + sym[at]
+            go = np.flatnonzero(trie.owner[to] == node)
+            start, node, at = start[go], to[go], at[go] + 1
+            token = trie.token[node]
+            good = token >= 0
+            if marked:
+                good &= (at == n) | ~closing[np.minimum(at, n - 1)] | closing[at - 1]
+            good = np.flatnonzero(good)
+            found.append((start[good], at[good], token[good]))
+            live = np.flatnonzero(at < n)
+            start, node, at = start[live], node[live], at[live]
+        start, end, token = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int32)] * 3
+        place = start - np.repeat(first, size + 1)[start]
+        order = np.argsort(place, kind="stable") if len(place) and place.max() > 30_000 else np.argsort(place.astype(np.int16), kind="stable")
+        start, end, token = start[order], end[order], token[order]
+        cut = np.searchsorted(place[order], np.arange(int(size.max(initial=0)) + 1))
+        last, back = np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int32)  # by end: the path's last token and where it starts
+        for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+            s, e, t = start[a:b], end[a:b], token[a:b]
+            if i:
+                before = last[s]
+                ok = before >= 0
+                ok[ok] = self.allowed(before[ok], t[ok])
+                s, e, t = s[ok], e[ok], t[ok]
+            last[e], back[e] = t, s
+        on = np.zeros(n + 1, bool)
+        pos, floor = (stop + marked)[size > 0], first[size > 0]
+        if (last[pos] < 0).any():
             raise ValueError("a word has no path; its bytes aren't in the vocabulary")
-        while len(rows):
-            steps.append((rows, token[rows, pos]))
-            pos = begin[rows, pos]
-            go = pos > 0
-            rows, pos = rows[go], pos[go]
-        who = np.concatenate([r for r, _ in steps[::-1]])
-        ids = np.concatenate([t for _, t in steps[::-1]])
-        at = np.argsort(who, kind="stable")
-        flat, cut = ids[at].tolist(), np.searchsorted(who[at], np.arange(n + 1)).tolist()
-        return [flat[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        while len(pos):
+            on[pos] = True
+            pos = back[pos]
+            go = pos > floor
+            pos, floor = pos[go], floor[go]
+        path = np.flatnonzero(on)
+        return last[path].astype(np.uint32), np.diff(np.searchsorted(path, np.append(first + 1, n + 1)))
 
 
 class Encoder:
-    """Texts to tokens for a vocabulary file with word ends, whose splitter never joins across white space.
+    """Texts to tokens for a vocabulary file with word ends, whose splitter never joins across white space, nor letters with punctuation.
 
-    Each white-space separated chunk of a text is encoded once and kept, up to CACHE chunks; `form` says what is kept of a chunk's ids.
+    A batch is cut there; what its different chunks encode to is kept, and the batch's ids are taken from there.
     """
 
-    def __init__(self, path: str, form: type):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model.get("end_of_word_suffix") or None)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile("\n|" + split.replace(r"\s", r"\t-\r \x85\xa0  -     　")).findall
+        self.split = regex.compile("\n|" + split.replace(r"\s", "".join(rf"\u{ord(c):04x}" for c in WHITE))).findall
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        labels = self.automaton.labels
         for text, i in self.special.items():
-            self.automaton.labels.extend([""] * (i + 1 - len(self.automaton.labels)))
-            self.automaton.labels[i] = text
-        self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.form, self.words, self.chunks = form, {}, {}
-        self.old_words, self.old_chunks = {}, {}
-        self.odd = regex.compile("[\x1c-\x1f]").search
-        self.cut = regex.compile(r"[\t-\r \x85\xa0  -     　]+").split
-
-    def cut_chunks(self, text: str) -> list[str]:
-        parts = text.split() if not self.odd(text) else [x for x in self.cut(text) if x]
-        return parts
-
-    def pieces(self, text: str) -> list[str]:
-        """A text's chunks, and the special strings in it as they are."""
-        if self.cut_special and "<|" in text and len(found := self.cut_special(text)) > 1:
-            out: list[str] = []
-            for x in found:
-                out += [x] if x in self.special else self.cut_chunks(x)
-            return out
-        return self.cut_chunks(text)
+            labels.extend([""] * (i + 1 - len(labels)))
+            labels[i] = text
+        # the longest of those that start at one place is the one
+        self.find_special = regex.compile(b"|".join(regex.escape(x.encode()) for x in sorted(self.special, key=len, reverse=True))).finditer if self.special else None
+        self.words, self.chunks = Store(WORDS), Store(CHUNKS)
 
     def normal(self, chunk: str) -> str:
         # lower-casing is by code point: no final sigma
         return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
 
-    def entries(self, texts: list[str | None]) -> list[list]:
-        """For each text what `form` makes of each of its chunks; None is an empty text."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        get = self.chunks.get
-        out = [list(map(get, x)) for x in cut]
-        open_rows = [i for i, x in enumerate(out) if None in x]
-        if open_rows:
-            missing = {c for i in open_rows for c, e in zip(cut[i], out[i], strict=True) if e is None}
-            if len(self.chunks) > CACHE:
-                self.old_chunks, self.chunks = self.chunks, {}
-                missing, open_rows, get = {c for x in cut for c in x}, range(len(cut)), self.chunks.get
-            if again := missing & self.old_chunks.keys():
-                self.chunks.update(zip(again, map(self.old_chunks.__getitem__, again), strict=True))
-                missing -= again
-            self.learn(missing)
-            for i in open_rows:
-                out[i] = list(map(get, cut[i]))
-        return out
-
-    def learn(self, missing: set[str]) -> None:
-        """Encodes chunks and keeps them."""
-        if special := missing & self.special.keys():
-            missing = missing - special
-            for x in special:
-                self.chunks[x] = self.form.one([self.special[x]], self.automaton.labels)
-        if not missing:
-            return
-        order = list(missing)
-        flat = self.split(self.normal("\n".join(order)))
-        if len(self.words) > CACHE:
-            self.old_words, self.words = self.words, {}
-        words, one, labels = self.words, self.form.one, self.automaton.labels
-        words["\n"] = None
-        new = set(flat) - words.keys()
-        if again := new & self.old_words.keys():
-            words.update(zip(again, map(self.old_words.__getitem__, again), strict=True))
-            new -= again
-        new = list(new)
-        for w, ids in zip(new, self.automaton.encode([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
-            words[w] = one(ids, labels)
-        many, at, chunks = self.form.many, 0, self.chunks
-        found = list(map(words.__getitem__, flat))
-        found.append(None)
-        for x in order:
-            end = found.index(None, at)
-            chunks[x] = found[at] if end == at + 1 else many(found[at:end])
-            at = end + 1
-
-
-class Strings:
-    """Decimal ids joined by a space, and the labels joined by a space."""
-
-    @staticmethod
-    def one(ids: list[int], labels: list[str]) -> tuple[str, str]:
-        return " ".join(map(str, ids)), " ".join([labels[i] for i in ids])
-
-    @staticmethod
-    def many(parts: list[tuple[str, str]]) -> tuple[str, str]:
-        return " ".join([a for a, _ in parts]), " ".join([b for _, b in parts])
-
-
-class Bytes:
-    """Little-endian unsigned 32-bit ids."""
-
-    @staticmethod
-    def one(ids: list[int], labels: list[str]) -> bytes:
-        return array("I", ids).tobytes()
-
-    many = staticmethod(b"".join)
-
-
-@functools.lru_cache(4)
-def encoder(path: str, form: type) -> Encoder:
-    """One for each Python worker, file and form."""
-    return Encoder(path, form)
-
-
-def decode(ids: Iterable[int], labels: list[str]) -> str:
-    """The labels of the arcs, joined as the vocabulary's decoder (none) joins them."""
-    return " ".join([labels[i] for i in ids])
-
-
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and where each text's start; a null text is empty."""
+        texts = Texts(column)
+        white = texts.white()
+        begin = texts.edges()
+        begin[1:] |= white[:-1] & ~white[1:]
+        whole = texts.data.tobytes() if self.special else b""
+        if any(x.encode() in whole for x in self.special):
+            for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist(), strict=True):
+                for m in self.find_special(whole, a, b):
+                    begin[m.start() : m.end()] = False
+                    begin[m.start()] = True
+                    if m.end() < len(begin):
+                        begin[m.end()] = True
+        chunks, place, first = texts.parts(begin)
+        keys = chunks.to_pylist()
+        at = self.chunks.find(keys)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.chunks.at) + np.arange(len(new))
+            self.learn([keys[i] for i in new.tolist()])
+        offsets, data = strings(self.chunks.array().take(pa.array(at[place])))
+        return data[: offsets[-1]].view(np.uint32), offsets[first].astype(np.int64) // 4
+
+    def learn(self, keys: list[str]) -> None:
+        """Encodes chunks, each with the white space behind it, and keeps them."""
+        bare = [k.rstrip(WHITE) for k in keys]
+        special = {i: self.special[x] for i, x in enumerate(bare) if x in self.special} if self.special else {}
+        for i in special:
+            bare[i] = ""
+        flat = self.split(self.normal("\n".join(bare)))
+        flat.append("\n")
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        place, different = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        at = self.words.find(different)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.words.at) + np.arange(len(new))
+            some = [different[i] for i in new.tolist()]
+            ids, count = self.automaton.encode([w.encode() if w != "\n" else b"" for w in some])
+            self.words.add(some, np.append(0, np.cumsum(4 * count)), ids.view(np.uint8))
+        offsets, data = strings(self.words.array().take(pa.array(at[place])))
+        line = np.flatnonzero(place == different.index("\n"))
+        cut = np.append(0, offsets[line])
+        if special:  # a special string's one id, where its empty chunk is
+            rows, ids = np.array(list(special)), np.array(list(special.values()), np.uint32)
+            data = np.insert(data[: cut[-1]].view(np.uint32), cut[rows] // 4, ids).view(np.uint8)
+            more = np.zeros(len(cut), cut.dtype)
+            more[rows + 1] = 4
+            cut = cut + np.cumsum(more)
+        self.chunks.add(keys, cut, data)
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker."""
+    return worker_own(("bpe", path), lambda: Encoder(path))
+
+
+class Speller:
+    """Ids as text, a space behind each: decimal numbers, and the labels that the arcs emit."""
+
+    def __init__(self, labels: list[str]):
+        self.numbers, self.labels = pa.array([f"{i} " for i in range(len(labels))]), pa.array([f"{x} " for x in labels])
+
+    def spans(self, column: pa.Array, ids: np.ndarray, first: np.ndarray):
+        """(text, bytes, whether the text ends there) in order, some 4 million ids at a time; the last space of a text is left out."""
+        text = 0
+        for a in range(0, len(ids), 1 << 22):
+            some = ids[a : a + (1 << 22)]
+            offsets, data = strings(column.take(pa.array(some)))
+            view = memoryview(data)
+            while text + 1 < len(first) and first[text] < a + len(some):
+                low, high = max(int(first[text]), a) - a, min(int(first[text + 1]), a + len(some)) - a
+                ends = first[text + 1] <= a + len(some)
+                if high > low:
+                    yield text, view[offsets[low] : offsets[high] - bool(ends)]
+                if not ends:
+                    break
+                text += 1

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vellum.llm.bpe import Strings, encoder
+from vellum.llm.bpe import Encoder, Speller, encoder
 from vellum.llm.common import map_text, narrow
 
 
+def _speller(e: Encoder) -> Speller:
+    if not hasattr(e, "speller"):
+        e.speller = Speller(e.automaton.labels)
+    return e.speller
+
+
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded): every row's ids and what they decode to.
 
@@ -19,10 +26,13 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        rows = encoder(path, Strings).entries(part.column("text").to_pylist())
-        ids = [[int(i) for a, _ in row for i in a.split(" ")] for row in rows]
-        out = [" ".join([b for _, b in row]) for row in rows]
-        return pa.record_batch([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
+        e = encoder(path)
+        ids, first = e.ids(part.column("text"))
+        speller, out = _speller(e), [b""] * part.num_rows
+        for i, x in speller.spans(speller.labels, ids, first):
+            out[i] += bytes(x)
+        lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32)))
+        return pa.record_batch([part.column("doc_id"), lists, pa.array([x.decode() for x in out], pa.string())], ["doc_id", "ids", "decoded"])
 
     docs = narrow(docs, "doc_id", "text")
     return map_text(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
@@ -32,13 +42,15 @@ def encode_digest(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of what encode_decode gives, made where the ids are so that neither leaves the task."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        count, ids, out = [], [], []
-        for row in encoder(path, Strings).entries(part.column("text").to_pylist()):
-            a = " ".join([x for x, _ in row])
-            count.append(a.count(" ") + 1 if row else 0)
-            ids.append(hashlib.sha256(a.encode()).hexdigest())
-            out.append(hashlib.sha256(" ".join([x for _, x in row]).encode()).hexdigest())
-        return pa.record_batch([part.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids), pa.array(out)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        e = encoder(path)
+        ids, first = e.ids(part.column("text"))
+        speller, columns = _speller(e), []
+        for column in (speller.numbers, speller.labels):
+            made = [hashlib.sha256() for _ in range(part.num_rows)]
+            for i, x in speller.spans(column, ids, first):
+                made[i].update(x)
+            columns.append(pa.array([m.hexdigest() for m in made], pa.string()))
+        return pa.record_batch([part.column("doc_id"), pa.array(np.diff(first), pa.int64()), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = narrow(docs, "doc_id", "text")
     return map_text(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -45,6 +45,21 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
     return df.mapInArrow(run, schema)
 
 
+_own: list = [None, None]
+
+
+def worker_own(key: object, make: Callable[[], object]) -> object:
+    """What make() gives for this key, kept in a Python worker until another key is asked for.
+
+    Workers are used again by later stages, so that what each operator keeps would add up; one thing at a time is held.
+    """
+    if _own[0] != key:
+        _own[:] = None, None
+        pa.default_memory_pool().release_unused()
+        _own[:] = key, make()
+    return _own[1]
+
+
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     """Only these columns; others, whatever their names, stay behind."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])

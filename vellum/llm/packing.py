@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.bpe import Bytes, encoder
+from vellum.llm.bpe import encoder
 from vellum.llm.common import map_text, narrow
 
 SALTS = 128  # parts into which the pieces of one length are ranked
@@ -78,15 +78,18 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         who, piece, start, length, crc = [], [], [], [], []
-        for i, row in enumerate(encoder(path, Bytes).entries(part.column("text").to_pylist())):
-            ids = memoryview(b"".join([*row, tail]))
-            for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                x = ids[a : a + 4 * capacity]
+        flat, first = encoder(path).ids(part.column("text"))
+        ids, first = memoryview(flat).cast("B"), first.tolist()
+        for i, (low, high) in enumerate(zip(first, first[1:], strict=False)):
+            for k, a in enumerate(range(low, high + 1, capacity)):  # one more than the text's own, for the end
+                b = min(a + capacity, high + 1)
+                whole = b <= high
                 who.append(i)
                 piece.append(k)
-                start.append(a // 4)
-                length.append(len(x) // 4)
-                crc.append(zlib.crc32(x))
+                start.append(a - low)
+                length.append(b - a)
+                x = zlib.crc32(ids[4 * a : 4 * min(b, high)])
+                crc.append(x if whole else zlib.crc32(tail, x))
         return pa.record_batch([part.column("doc_id").take(pa.array(who, pa.int32())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     docs = narrow(docs, "doc_id", "text")
