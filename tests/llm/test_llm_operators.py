@@ -258,7 +258,7 @@ def removed_by_hand(rows, least):
     return out
 
 
-@pytest.mark.parametrize("most", [1, 4096])
+@pytest.mark.parametrize("most", [1, 4, 4096])
 def test_substring_dedup(spark, docs, most):
     rng = random.Random(4)
     passage = "".join(rng.choice("abcdeé ") for _ in range(400))
@@ -278,26 +278,59 @@ def test_dedup_text_keeps_whole_characters(spark):
     assert (got[1].text, got[2].text, got[3].text, got[1].n_chars) == ("one  tail", "", "alone", 9)
 
 
-def test_maximal_repeats():
-    def slow(texts, least):
-        seen = collections.defaultdict(list)
-        for t, x in enumerate(texts):
-            for i in range(len(x)):
-                for j in range(i + least, len(x) + 1):
-                    seen[x[i:j]].append((t, i))
-        out = []
-        for w, o in seen.items():
-            left = {texts[t][i - 1] if i else ("start", t) for t, i in o}
-            right = {texts[t][i + len(w)] if i + len(w) < len(texts[t]) else ("end", t, i) for t, i in o}
-            if len(o) > 1 and len(left) > 1 and len(right) > 1:
-                out.append((len(w), sorted(o)))
-        return sorted(out)
+def slow_repeats(texts, least, anchor):
+    """(string, {(text, start)}) of maximal repeats that hold an occurrence of the anchor."""
+    seen = collections.defaultdict(list)
+    for t, x in enumerate(texts):
+        for i in range(len(x)):
+            for j in range(i + least, len(x) + 1):
+                seen[x[i:j]].append((t, i))
+    out = {}
+    for w, o in seen.items():
+        before = {texts[t][i - 1] if i else ("start", t, i) for t, i in o}
+        behind = {texts[t][i + len(w)] if i + len(w) < len(texts[t]) else ("end", t, i) for t, i in o}
+        if len(o) > 1 and len(before) > 1 and len(behind) > 1 and anchor in w:
+            out[w] = set(o)
+    return out
+
 
+def test_maximal_repeats():
     rng = random.Random(3)
-    for k in range(60):
-        some = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 4))]
-        some += [some[0] + b"ab" + some[0]] if k % 3 == 0 else []
-        assert sorted(suffix_array.maximal_repeats(some, 8)) == slow(some, 8)
+    for k in range(150):
+        anchor = b"XYZ"
+        some = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 14))) + anchor + bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 7))]
+        some += [some[0]] * (k % 3)
+        some.sort(key=lambda x: x[x.index(anchor) :])
+        at = [x.index(anchor) for x in some]
+        before, after = [x[:i][::-1] for x, i in zip(some, at, strict=True)], [x[i:] for x, i in zip(some, at, strict=True)]
+        got = {some[m[0]][at[m[0]] - l : at[m[0]] + h]: {(i, at[i] - l) for i in m} for l, h, m in suffix_array.maximal_repeats(before, after, 8)}
+        assert got == slow_repeats(some, 8, anchor)
+        offsets = np.cumsum([0, *map(len, after)])
+        assert suffix_array.neighbours(np.frombuffer(b"".join(after), np.uint8), offsets, 40).tolist() == [suffix_array.common(a, b) for a, b in zip(after, after[1:], strict=False)]
+
+
+@pytest.mark.parametrize("most", [3, 4096])
+def test_repeat_groups_hold_all_occurrences(spark, most):
+    rng = random.Random(21)
+    noise = lambda n: "".join(rng.choice("abcdefghijkl ") for _ in range(n))
+    long, short = noise(330), noise(215)
+    rows = [(i, noise(rng.randint(0, 90)) + (long if i % 2 else long[40:]) + noise(rng.randint(0, 90))) for i in range(8)]
+    rows += [(10 + i, noise(50) + short + noise(rng.randint(0, 60))) for i in range(5)] + [(20, rows[3][1]), (20, rows[3][1]), (30, None), (31, ""), (32, noise(300))]
+    df = ready(spark.createDataFrame(rows, "doc_id long, text string"))
+    groups = collections.defaultdict(set)
+    for r in substring_dedup.repeat_groups(df, 200, most).collect():
+        groups[r.group, r.length].add((r.doc_id, r.start))
+    text = dict(rows)
+    covered = collections.defaultdict(set)
+    for (_, n), where in groups.items():
+        some = {(text[d] or "")[a : a + n] for d, a in where}
+        assert len(some) == 1 and n >= 200
+        w = some.pop()
+        assert where == {(d, i) for d, t in rows for i in range(len(t or "")) if t.startswith(w, i)}
+        for d, a in where:
+            covered[d] |= set(range(a, a + n))
+    want = {d: r[1] for (d, _), r in zip(rows, removed_by_hand(rows, 200), strict=True)}
+    assert {d: len(covered[d]) for d in want} == want
 
 
 def test_chat_format(spark):

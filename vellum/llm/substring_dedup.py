@@ -1,15 +1,16 @@
 """Exact removal of byte strings that repeat anywhere in the corpus, through suffix arrays over the places that can repeat.
 
 1. Anchors. In each string of `least` bytes the leftmost smallest hash among its 48-byte substrings is its anchor. Equal
-   strings have equal anchors at equal places, so what repeats can be found among the contexts of equal anchors: up to
+   strings have equal anchors at equal places, so what repeats is found among the contexts of equal anchors: up to
    `least` bytes before and after, which hold every string with that anchor.
-2. Contexts are counted by hash. A context that is there twice or more repeats throughout; of an anchor with one context
-   nothing else repeats. Copies, however many, come down to counts here, before any text is moved.
-3. An anchor with several contexts, some of them single, has its different contexts gathered. The common-prefix interval
-   tree of their enhanced suffix array gives the maximal repeats with all occurrences; those cover the single contexts.
-4. An anchor with more than MAX_CONTEXTS different contexts never meets in one task. The places of its strings in the
-   context are halved again and again: what all strings of a half share is counted, as is their union, by hash with
-   partial sums. Strings whose shared part is single are done, as are those whose union repeats; the rest are halved on.
+2. Leaves. Equal contexts are one leaf of an anchor's suffix array, with a count; they are merged by hash (64 bits of the
+   anchor and 64 of the context) before any text is moved. A leaf with two occurrences or more is a repeat throughout.
+3. Tree. An anchor with several leaves, some of them single, has their contexts gathered and sorted by Spark. The
+   common-prefix interval tree of that enhanced suffix array gives the maximal repeats with all their members.
+4. Pieces. An anchor with more leaves than one task should hold is split by longer shared parts. A string of the anchor
+   starts up to `least` - 48 bytes before it; halves of that range share a core, so contexts with equal cores (counted
+   with partial sums) are a piece of the tree. Pieces are split on until each is small enough and goes to step 3. What
+   all strings of a half cover together is counted too: where that repeats there is nothing left to find.
 5. Each text's covered ranges are united and cut out.
 """
 
@@ -22,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import discard, map_text, narrow, stored
-from vellum.llm.suffix_array import SuffixArray
+from vellum.llm.common import discard, map_text, narrow, ready, stored
+from vellum.llm.cut import Texts, strings
+from vellum.llm.suffix_array import common, maximal_repeats, neighbours, reach
 
 GRAM = 48
+#: Leaves that a piece of a tree is built from at most; with more it is split.
 MAX_CONTEXTS = 4096
 SLICE = 1 << 20
 
@@ -143,107 +146,136 @@ def _place() -> list[Column]:
 
 
 def _cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (ah, k1, k2, pos, start, end, single, hot) with the bytes of each context; contexts of a text and an anchor that overlap are one unless hot."""
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("ah", "pos", "start", "end", "single", "hot")).alias("wanted"))
+    """wanted (ah, ch, k1, k2, pos, start, end, single, hot) with the bytes of each context instead of its end."""
+    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("ah", "ch", "pos", "start", "end", "single", "hot")).alias("wanted"))
+    # equal rows have equal contexts: the text of one will do
     joined = docs.join(lists.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "wanted")
+    names = ("ah", "ch", "pos", "start", "single", "hot")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple] = []
-        for k1, k2, text, want in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "text", "wanted")), strict=True):
-            data, held = text.encode(), None
-            for w in sorted(want, key=lambda w: (w["ah"], w["start"], w["pos"])):
-                if not w["hot"] and held and held["ah"] == w["ah"] and w["start"] < held["end"]:
-                    held |= {"end": max(held["end"], w["end"]), "single": held["single"] or w["single"]}
-                    continue
-                if held:
-                    out.append((held["ah"], k1, k2, held["pos"], held["start"], held["single"], held["hot"], data[held["start"] : held["end"]]))
-                held = dict(w)
-            if held:
-                out.append((held["ah"], k1, k2, held["pos"], held["start"], held["single"], held["hot"], data[held["start"] : held["end"]]))
-        x = list(zip(*out, strict=True)) or [[]] * 8
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
-        return pa.record_batch([pa.array(v, k) for v, k in zip(x, kinds, strict=True)], ["ah", "k1", "k2", "pos", "start", "single", "hot", "bytes"])
-
-    return map_text(joined, run, "ah long, k1 long, k2 int, pos int, start int, single boolean, hot boolean, bytes binary")
-
+        column = part.column("wanted")
+        flat = column.flatten()
+        owner = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
+        texts = Texts(part.column("text"))
+        base = texts.offsets[owner].astype(np.int64)
+        first, last = (base + flat.field(c).to_numpy() for c in ("start", "end"))
+        data = texts.data.tobytes()
+        cut = pa.array([data[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())
+        return pa.record_batch([part.column("k1").take(pa.array(owner)), part.column("k2").take(pa.array(owner)), *(flat.field(c) for c in names), cut], ["k1", "k2", *names, "bytes"])
 
-def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    x = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.record_batch([pa.array(v, k) for v, k in zip(x, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["k1", "k2", "start", "end"])
+    return map_text(joined, run, "k1 long, k2 int, ah long, ch long, pos int, start int, single boolean, hot boolean, bytes binary").dropDuplicates(["ah", "ch"])
 
 
 SPAN = "k1 long, k2 int, start int, end int"
 
 
-def repeats_of(table: pa.Table, least: int) -> list[tuple]:
-    """(k1, k2, start, end) of every maximal repeat's occurrences in single contexts; contexts are compared within an anchor."""
-    ah = table.column("ah").to_numpy()
-    sa = SuffixArray(table.column("bytes").to_pylist(), ah, least)
-    single = np.array(table.column("single").to_pylist(), bool)
-    k1, k2, start = (table.column(c).to_pylist() for c in ("k1", "k2", "start"))
-    found: dict[int, list[tuple[int, int]]] = {}
-    for length, members in sa.maximal_repeats():
-        for i in members:
-            t = int(sa.owner[i])
-            if single[t]:
-                a = int(sa.at[i] - sa.start[t])
-                found.setdefault(t, []).append((a, a + length))
-    out = []
-    for t, spans in found.items():
-        for a, b in merged(spans):
-            out.append((k1[t], k2[t], start[t] + a, start[t] + b))
-    return out
+TREE = ("key", "ah", "ch", "k1", "k2", "pos", "single", "before", "after")
 
 
-def _by_suffix_array(contexts: DataFrame, least: int) -> DataFrame:
-    """Spans of the single contexts that repeat; whole anchors are taken together, about SLICE bytes at a time."""
+def _leaves(contexts: DataFrame, key: Column) -> DataFrame:
+    """Rows of TREE: a context's leaf in the tree (or the piece of one) that `key` names."""
+    return contexts.select(key.alias("key"), "ah", "ch", "k1", "k2", "pos", "single", F.expr("substring(bytes, 1, pos - start)").alias("before"), F.expr("substring(bytes, pos - start + 1)").alias("after"))
 
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.column("bytes").nbytes
-            if size < SLICE:
-                continue
-            table = pa.Table.from_batches(held)
-            ah = table.column("ah").to_numpy()
-            cut = int(np.searchsorted(ah, ah[-1]))  # rows are sorted by anchor; the last may go on
-            if cut:
-                yield _spans(repeats_of(table.slice(0, cut), least))
-                held, size = table.slice(cut).combine_chunks().to_batches(), table.slice(cut).column("bytes").nbytes
-        if held:
-            table = pa.Table.from_batches(held)
-            if table.num_rows:
-                yield _spans(repeats_of(table, least))
-
-    def small(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 4096):
-                yield b.slice(i, 4096)
 
-    rows = contexts.select("ah", "k1", "k2", "start", "single", "bytes").repartition("ah").sortWithinPartitions("ah")
-    return rows.mapInArrow(lambda batches: run(small(batches)), SPAN)
+def _trees(leaves: DataFrame, least: int, fn, schema: str) -> DataFrame:
+    """fn(rows of whole trees, in order; the first row of each; common prefixes of neighbours) over all trees, about SLICE bytes at a time.
 
+    Spark sorts the suffixes. Trees of different anchors that share a key are one tree, which finds the same, as bytes are compared.
+    """
 
-def _by_halving(contexts: DataFrame, least: int) -> list[DataFrame]:
-    """Spans of the single contexts of anchors with too many contexts for one task.
+    def trees(table: pa.Table):
+        table = table.combine_chunks()
+        key = table.column("key").to_numpy()
+        offsets, data = strings(table.column("after").combine_chunks())
+        lcp = neighbours(data, offsets.astype(np.int64), least)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return fn(table, first, lcp)
 
-    A string of the anchor starts `l` bytes before it. A node is a range of l; a row is a context with its node. What all
-    strings of a node share is its core, from -low to least - high; their union goes from -high to least - low.
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                held.append(batch.slice(i, 4096))
+                size += held[-1].num_rows * least
+                if size < SLICE:
+                    continue
+                table = pa.Table.from_batches(held)
+                key = table.column("key").to_numpy()
+                cut = int(np.flatnonzero(key == key[-1])[0])  # the last tree may go on
+                if cut:
+                    yield trees(table.slice(0, cut))
+                    held, size = table.slice(cut).combine_chunks().to_batches(), (len(key) - cut) * least
+        if held and (table := pa.Table.from_batches(held)).num_rows:
+            yield trees(table)
+
+    return leaves.select(*TREE).repartition("key").sortWithinPartitions("key", "after").mapInArrow(run, schema)
+
+
+def _reached(least: int):
+    """For _trees(): the spans of single leaves that repeats cover."""
+
+    def spans(table: pa.Table, first: np.ndarray, lcp: np.ndarray) -> pa.RecordBatch:
+        single = table.column("single").to_numpy()
+        before = [x[::-1] for x in table.column("before").to_pylist()]
+        n = len(before)
+        low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        sizes = np.diff(np.append(first, n))
+        two = first[sizes == 2]  # a tree of two leaves has one interval
+        for i, h in zip(two.tolist(), lcp[two].tolist(), strict=True):
+            if (l := common(before[i], before[i + 1])) + h >= least:
+                low[i : i + 2], high[i : i + 2] = l, h
+        for i, m in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            after = table.column("after").slice(i, m).to_pylist()
+            for x, (l, h) in reach(before[i : i + m], after, least, lcp[i : i + m - 1].tolist()).items():
+                low[i + x], high[i + x] = l, h
+        at = np.flatnonzero((high > 0) & single)
+        pos = table.column("pos").to_numpy()[at].astype(np.int64)
+        k1, k2 = (table.column(c).to_numpy()[at] for c in ("k1", "k2"))
+        return pa.record_batch([pa.array(k1), pa.array(k2), pa.array((pos - low[at]).astype(np.int32)), pa.array((pos + high[at]).astype(np.int32))], ["k1", "k2", "start", "end"])
+
+    return spans
+
+
+def _grouped(least: int):
+    """For _trees(): (group, length, ah, ch, l) for each member of each maximal repeat, which starts l bytes before the member's anchor."""
+
+    def groups(table: pa.Table, first: np.ndarray, lcp: np.ndarray) -> pa.RecordBatch:
+        out = []
+        ah, ch, key, after = (table.column(c).to_pylist() for c in ("ah", "ch", "key", "after"))
+        before = [x[::-1] for x in table.column("before").to_pylist()]
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+            for l, h, members in maximal_repeats(before[i:j], after[i:j], least, lcp[i : j - 1].tolist()):
+                name = hashlib.blake2b(before[i + members[0]][:l][::-1] + after[i + members[0]][:h], digest_size=8).digest()
+                out += [(int.from_bytes(name, signed=True), l + h, ah[i + m], ch[i + m], l) for m in members]
+        x = list(zip(*out, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        return pa.record_batch([pa.array(v, k) for v, k in zip(x, kinds, strict=True)], ["group", "length", "ah", "ch", "l"])
+
+    return groups
+
+
+def _by_halving(contexts: DataFrame, least: int, most: int, whole: bool) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The contexts of anchors with more than `most` leaves as pieces of at most `most`, and those that need no tree.
+
+    A node is a range of `l`, how far before the anchor a string starts; a row is a context with its node. What all strings
+    of a node share is its core, from -low to least - high; their union goes from -high to least - low. Rows with equal
+    cores are a piece. Where a union repeats the rows are done (ah, ch, k1, k2, pos, open, low, high, all); unless `whole`
+    says to keep all, one of them then stands for the others in the smaller nodes. A piece that is too large down to a
+    single string ends there, as that string is then its core and its union.
     """
     reach = 1
     while reach < least - GRAM + 1:
         reach *= 2
-    rows = contexts.select("ah", "k1", "k2", "pos", "start", F.col("bytes"), F.when(F.col("single"), 1).otherwise(2).alias("weight"), F.col("single").alias("open"), F.lit(0).alias("low"), F.lit(reach - 1).alias("high"))
-    out = []
-    names = ["ah", "k1", "k2", "pos", "start", "bytes", "weight", "open", "low", "high"]
-    schema = "ah long, k1 long, k2 int, pos int, start int, bytes binary, weight int, open boolean, low int, high int, core binary, all binary"
+    names = ["ah", "ch", "k1", "k2", "pos", "start", "bytes", "weight", "open", "low", "high"]
+    rows = contexts.select("ah", "ch", "k1", "k2", "pos", "start", "bytes", F.when(F.col("single"), 1).otherwise(2).alias("weight"), F.col("single").alias("open"), F.lit(0).alias("low"), F.lit(reach - 1).alias("high"))
+    schema = "ah long, ch long, k1 long, k2 int, pos int, start int, bytes binary, weight int, open boolean, low int, high int, core binary, all binary"
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
 
     def halve(batches):
         for b in batches:
             rows = []
             for r in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-                ah, k1, k2, pos, start, data, weight, still, low, high = r
+                pos, start, data, low, high = r[4], r[5], r[6], r[9], r[10]
                 a = pos - start
                 lowest, highest = max(0, least - (len(data) - a)), a  # the strings that the context has
                 mid = (low + high) // 2
@@ -254,24 +286,29 @@ def _by_halving(contexts: DataFrame, least: int) -> list[DataFrame]:
                     core = hashlib.blake2b(data[a - x : a + least - y], digest_size=16).digest()
                     full = x >= lowest and y <= highest
                     union = hashlib.blake2b(data[a - y : a + least - x], digest_size=16).digest() if full else None
-                    rows.append((*r[:6], weight, still, x, y, core, union))
-            x = list(zip(*rows, strict=True)) or [[]] * 12
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                    rows.append((*r[:9], x, y, core, union))
+            x = list(zip(*rows, strict=True)) or [[]] * 13
             yield pa.record_batch([pa.array(v, k) for v, k in zip(x, kinds, strict=True)], [*names, "core", "all"])
 
-    width = reach
+    done, pieces, width = [], [], reach
     while width > 1:
         width //= 2
         rows = stored(rows.select(*names).mapInArrow(halve, schema))
-        cores = rows.groupBy("ah", "low", "core").agg(F.sum("weight").alias("n_core"))
+        cores = rows.groupBy("ah", "low", "core").agg(F.sum("weight").alias("n_core"), F.count("*").alias("m"))
         unions = rows.where(F.col("all").isNotNull()).groupBy("ah", "low", "all").agg(F.sum("weight").alias("n_all"), F.min(F.struct("k1", "k2", "pos")).alias("first"))
         known = rows.join(cores, ["ah", "low", "core"]).where("n_core > 1").join(unions, ["ah", "low", "all"], "left")
-        known = stored(known.select(*names, "n_core", F.coalesce("n_all", F.lit(0)).alias("n_all"), F.coalesce(F.col("first") == F.struct("k1", "k2", "pos"), F.lit(False)).alias("is_first")))
-        done = known.where("open and n_all > 1")
-        out.append(done.select("k1", "k2", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") + least - F.col("low")).alias("end")))
+        known = stored(known.select(*names, "core", "all", "n_core", "m", F.coalesce("n_all", F.lit(0)).alias("n_all"), F.coalesce(F.col("first") == F.struct("k1", "k2", "pos"), F.lit(False)).alias("is_first")))
+        small = known.where(f"m <= {most}")
+        pieces.append(_leaves(small.withColumnRenamed("open", "single"), F.xxhash64("ah", "low", "core")))
+        known = known.where(f"m > {most}")
+        done.append(known.where("n_all > 1").select("ah", "ch", "k1", "k2", "pos", "open", "low", "high", "all"))
+        if whole:
+            rows = known
+            continue
         # those that repeat throughout go on as one partner, while others share their core
-        rows = known.where("n_all <= 1 or (is_first and n_core > n_all)").select(*[(F.when(F.col("n_all") > 1, 2).otherwise(F.col("weight")).cast("int").alias(c) if c == "weight" else (F.col("open") & (F.col("n_all") <= 1)).alias(c) if c == "open" else F.col(c)) for c in names])
-    return out
+        left = known.where("n_all <= 1 or (is_first and n_core > n_all)")
+        rows = left.withColumn("weight", F.expr("if(n_all > 1, 2, weight)")).withColumn("open", F.expr("open and n_all <= 1")).select(*names)
+    return done, pieces
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -286,31 +323,77 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(keyed: DataFrame, least: int, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
-    """(k1, k2, start, end): ranges that cover exactly the bytes of strings of `least` bytes that start twice or more."""
-    seen = stored(_contexts(keyed, least))
+def _leaves_of(seen: DataFrame) -> DataFrame:
+    """(ah, ch, n, k1, at, form): each different context, how often it occurs, and one occurrence."""
     # the first row of a context stands for it; which one that is makes no difference
     one = [F.first(c).alias(c) for c in ("k1", "at", "form")]
-    distinct = stored(seen.groupBy("ah", "ch").agg(F.sum(F.col("form").bitwiseAND(3)).alias("n"), *one))
+    return seen.groupBy("ah", "ch").agg(F.sum(F.col("form").bitwiseAND(3)).alias("n"), *one)
+
+
+def _open_contexts(keyed: DataFrame, distinct: DataFrame, max_contexts: int) -> DataFrame:
+    """The leaves, with their bytes, of anchors that have several of which some are single."""
     many = distinct.groupBy("ah").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1").select("ah", (F.col("contexts") > max_contexts).alias("hot"))
-    wanted = stored(distinct.join(many, "ah").select("ah", *_place(), (F.col("n") == 1).alias("single"), "hot"))
+    wanted = distinct.join(many, "ah").select("ah", "ch", *_place(), (F.col("n") == 1).alias("single"), "hot")
+    return _cut_contexts(keyed, wanted)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
+
+
+def _all_leaves(contexts: DataFrame, least: int, max_contexts: int, whole: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """The leaves of all trees and pieces of trees, and what the splitting of large ones has done."""
+    done, pieces = [], [_leaves(contexts.where("not hot"), F.col("ah"))]
+    if contexts.where("hot").limit(1).count():
+        done, more = _by_halving(contexts.where("hot"), least, max_contexts, whole)
+        pieces += more
+    return _union(pieces), done
+
+
+def repeated_spans(keyed: DataFrame, least: int, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+    """(k1, k2, start, end): ranges that cover exactly the bytes of strings of `least` bytes that start twice or more."""
+    seen = stored(_contexts(keyed, least))
+    distinct = stored(_leaves_of(seen))
     twice = distinct.where("n > 1").select("ah", "ch")
     copies = stored(seen.join(twice, ["ah", "ch"]).select(*[c for i, c in enumerate(_place()) if i != 2]))
-    discard(seen, distinct)  # the largest tables; what follows reads `wanted` and `copies`
-    contexts = stored(_cut_contexts(keyed, wanted))
-    discard(wanted)
-    spans = [copies, _by_suffix_array(contexts.where("not hot"), least)]
-    if contexts.where("hot").limit(1).count():
-        spans += _by_halving(contexts.where("hot"), least)
-    out = spans[0]
-    for s in spans[1:]:
-        out = out.union(s)
-    return out
+    discard(seen)
+    contexts = stored(_open_contexts(keyed, distinct, max_contexts))
+    discard(distinct)
+    leaves, done = _all_leaves(contexts, least, max_contexts, False)
+    spans = [copies, _trees(leaves, least, _reached(least), SPAN)]
+    spans += [d.where("open").select("k1", "k2", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") + least - F.col("low")).alias("end")) for d in done]
+    return _union(spans)
+
+
+def repeat_groups(docs: DataFrame, least: int = 200, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+    """(group, length, doc_id, start): every occurrence, by byte offset, of each repeat of `least` bytes or more around an anchor.
+
+    A group is a maximal repeat as far as the contexts reach (`least` bytes from the anchor): a longer one is several
+    groups that overlap. Groups of leaves are named by their hash, those of trees by that of their bytes. Of anchors with
+    more than `max_contexts` leaves also repeats that more than that many leaves share are groups, maximal or not. Null
+    and empty texts are in none; equal rows are occurrences of their own; an empty table gives an empty one.
+    """
+    docs = ready(narrow(docs, "doc_id", "text"))
+    keyed = _keyed(docs)
+    seen = stored(_contexts(keyed, least))
+    distinct = stored(_leaves_of(seen))
+    contexts = stored(_open_contexts(keyed, distinct, max_contexts))
+    leaves, done = _all_leaves(contexts, least, max_contexts, True)
+    size = F.shiftright("form", 32) + F.shiftright(F.col("form").bitwiseAND(0xFFFFFFFF), 2)
+    parts = [distinct.where("n > 1").select(F.xxhash64("ah", "ch").alias("group"), size.cast("int").alias("length"), "ah", "ch", F.shiftright("form", 32).cast("int").alias("l"))]
+    parts.append(_trees(leaves, least, _grouped(least), "group long, length int, ah long, ch long, l int"))
+    parts += [d.select(F.xxhash64("ah", "low", "all"), F.col("high") - F.col("low") + least, "ah", "ch", "high") for d in done]
+    found = _union(parts).distinct().join(seen, ["ah", "ch"]).select("group", "length", *_place()[:3], "l")
+    return found.join(keyed.select("k1", "k2", "doc_id"), ["k1", "k2"]).select("group", "length", "doc_id", (F.col("pos") - F.col("l")).alias("start"))
 
 
 def _with_spans(keyed: DataFrame, least: int, max_contexts: int) -> DataFrame:
+    # equal rows have equal spans: one of each
     spans = repeated_spans(keyed, least, max_contexts)
-    lists = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    lists = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return keyed.join(lists.hint("shuffle_hash"), ["k1", "k2"], "left")
 
 

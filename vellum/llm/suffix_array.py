@@ -1,102 +1,82 @@
-"""Maximal repeats of a set of byte strings by the common-prefix interval tree of an enhanced suffix array."""
+"""Maximal repeats around an anchor by the common-prefix interval tree of an enhanced suffix array.
+
+The array holds the suffixes that start at the anchor's occurrences, in order, with the lengths of their neighbours'
+common prefixes and what stands before each. A repeat that has the anchor in it is a common prefix and a common
+extension to the left. A stack-scan of the prefix lengths gives the tree's intervals; in each, a second scan of the
+members by what stands before them gives the sets that extend equally far to the left and no further. Such a set is a
+maximal repeat if its members go on differently on the right, i.e. aren't all in one child of the interval.
+"""
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
 
+import numpy as np
 
-def _ranks(key: np.ndarray) -> np.ndarray:
-    """Dense ranks of the keys' order."""
-    order = np.argsort(key)
-    k = key[order]
-    step = np.zeros(len(k), np.int32)
-    np.not_equal(k[1:], k[:-1], out=step[1:], casting="unsafe")
-    out = np.empty(len(k), np.int32)
-    out[order] = np.cumsum(step, dtype=np.int32)
-    return out
 
+def common(a: bytes, b: bytes) -> int:
+    """The length of the common prefix."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+    return n - (differ.bit_length() + 7) // 8
 
-class SuffixArray:
-    """Suffixes of texts (each in a group; only texts of a group are compared) in order, with common-prefix lengths.
 
-    Ranks of all substrings of 8, 16, 32 ... bytes come by doubling; the last step overlaps to reach `least` bytes.
-    Suffixes shorter than `least` are left out, as no repeat of that length starts there.
-    """
+def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
+    """(height, first, last) of each interval of the tree over prefix lengths of neighbours, if its height is `least` or more; inner ones first."""
+    stack: list[tuple[int, int]] = []
+    for i, h in enumerate([*lcp, -1]):
+        first = i
+        while stack and stack[-1][0] > h:
+            height, first = stack.pop()
+            if height >= least:
+                yield height, first, i
+        if h >= 0 and (not stack or stack[-1][0] < h):
+            stack.append((h, first))
 
-    def __init__(self, texts: list[bytes], group: np.ndarray, least: int):
-        if least < 8:
-            raise ValueError("repeats of under 8 bytes aren't looked for")
-        self.least = least
-        size = np.array([len(t) for t in texts], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(size)])
-        data = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
-        n = self.n = int(self.start[-1])
-        self.data = data[:n]
-        owner = np.repeat(np.arange(len(texts)), size)
-        end = self.start[1:][owner]
-        words = np.zeros(n, np.uint64)
-        for i in range(8):
-            words = words << np.uint64(8) | data[i : n + i]
-        # a rank is of value only where the substring stays in its text
-        h, rank = 8, _ranks(words)
-        while h < least:
-            step = min(h, least - h)
-            key = rank.astype(np.int64) << 32
-            key[: n - step] |= rank[step:]
-            h, rank = h + step, _ranks(key)
-        whole = np.flatnonzero(np.arange(n) + least <= end)
-        rank = rank[whole]
-        own = np.asarray(group, np.int64)[owner[whole]]
-        order = np.lexsort((whole, rank, own))
-        self.at, self.owner = whole[order], owner[whole][order]
-        rank, own = rank[order], own[order]
-        # those that share `least` bytes with a neighbour, in runs
-        self.run = np.cumsum(np.concatenate([[0], (rank[1:] != rank[:-1]) | (own[1:] != own[:-1])])) if len(rank) else rank
-        self.end = self.start[1:][self.owner]
-        self.left = np.where(self.at > self.start[self.owner], self.data[self.at - 1].astype(np.int64), -1 - np.arange(len(self.at)))
 
-    def common(self, a: int, b: int) -> int:
-        """The length of the common prefix of the suffixes at a and b, which share `least` bytes, within their texts."""
-        i, j, most = self.at[a], self.at[b], min(self.end[a] - self.at[a], self.end[b] - self.at[b])
-        x, y = self.data[i : i + most], self.data[j : j + most]
-        differ = x != y
-        return int(differ.argmax()) if differ.any() else int(most)
+def maximal_repeats(before: list[bytes], after: list[bytes], least: int, lcp: list[int] | None = None) -> Iterator[tuple[int, int, list[int]]]:
+    """(l, h, members): each maximal repeat of `least` bytes or more, with all its members.
 
-    def maximal_repeats(self):
-        """(length, members): each maximal repeat of at least `least` bytes with all its occurrences.
+    after: the different suffixes in order (equal ones may follow each other); before: what precedes each, reversed. The
+    repeat goes from l bytes before to h bytes behind the anchor of each member. lcp: of neighbours, if known.
+    """
+    if lcp is None:
+        lcp = [common(a, b) for a, b in zip(after, after[1:], strict=False)]
+    longest = max(map(len, before), default=0)
+    for h, first, last in intervals(lcp, max(0, least - longest)):
+        child, children = 0, {first: 0}
+        for i in range(first, last):
+            child += lcp[i] == h
+            children[i + 1] = child
+        # those that can't reach far enough to the left take no part
+        own = [i for i in range(first, last + 1) if len(before[i]) >= least - h]
+        own.sort(key=before.__getitem__)
+        left = [common(before[a], before[b]) for a, b in zip(own, own[1:], strict=False)]
+        for l, a, b in intervals(left, max(0, least - h)):
+            members = own[a : b + 1]
+            if any(children[m] != children[members[0]] for m in members):
+                yield l, h, members
 
-        Members are places in `at` and `owner`. Runs whose suffixes all follow the same byte hold no maximal repeat (each
-        extends to the left), so only the others are sorted to the end and stack-scanned: an interval of the tree is
-        given out if its members follow different bytes.
-        """
-        if not len(self.at):
-            return
-        first = np.flatnonzero(np.concatenate([[True], self.run[1:] != self.run[:-1]]))
-        size = np.diff(np.append(first, len(self.run)))
-        diverse = (size > 1) & (np.minimum.reduceat(self.left, first) != np.maximum.reduceat(self.left, first))
-        for f, s in zip(first[diverse].tolist(), size[diverse].tolist(), strict=True):
-            run = sorted(range(f, f + s), key=lambda i: self.data[self.at[i] + self.least : self.end[i]].tobytes())
-            yield from self._scan(run)
 
-    def _scan(self, run: list[int]):
-        """The intervals of one run, by a stack of (prefix length, first member, the byte that all follow or None)."""
-        left = self.left
-        lcp = [self.common(a, b) for a, b in zip(run, run[1:], strict=False)] + [self.least - 1]
-        stack: list[list] = []
-        for i, h in enumerate(lcp):
-            begin, same = i, left[run[i]]
-            while stack and stack[-1][0] > h:
-                length, begin, before = stack.pop()
-                same = before if before == same else None
-                if same is None:
-                    yield length, run[begin : i + 1]
-            if stack and stack[-1][0] == h:
-                stack[-1][2] = stack[-1][2] if stack[-1][2] == same else None
-            elif h >= self.least:
-                stack.append([h, begin, same])
+def reach(before: list[bytes], after: list[bytes], least: int, lcp: list[int] | None = None) -> dict[int, tuple[int, int]]:
+    """For each member of a maximal repeat how far its repeats go to the left and to the right; all hold the anchor, so their union is one range."""
+    out: dict[int, tuple[int, int]] = {}
+    for l, h, members in maximal_repeats(before, after, least, lcp):
+        for m in members:
+            a, b = out.get(m, (0, 0))
+            out[m] = max(a, l), max(b, h)
+    return out
 
 
-def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(length, [(text, start)]) for each maximal repeat of at least `least` bytes among and within the texts."""
-    sa = SuffixArray(texts, np.zeros(len(texts), np.int64), least)
-    return [(h, sorted((int(sa.owner[i]), int(sa.at[i] - sa.start[sa.owner[i]])) for i in m)) for h, m in sa.maximal_repeats()]
+def neighbours(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """The length, up to `width`, of the common prefix of each string with the next, for strings laid one behind the other."""
+    size = np.minimum(np.diff(offsets), width)
+    held = np.append(data, np.zeros(width, np.uint8))
+    out = np.zeros(max(len(size) - 1, 0), np.int64)
+    for a in range(0, len(out), 2048):
+        b = min(a + 2048, len(out))
+        rows = held[offsets[a : b + 1, None] + np.arange(width)]
+        differ = rows[1:] != rows[:-1]
+        most = np.minimum(size[a:b], size[a + 1 : b + 1])
+        out[a:b] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), width), most)
+    return out
