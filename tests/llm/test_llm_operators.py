@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 from vellum.llm import bpe, bpe_codec, chat_format, packing, quality_classifier, quality_rules, queries, simhash, substring_dedup, suffix_array, token_counts, toxicity, vector_search
 from vellum.llm.common import ready
 from vellum.llm.cut import Texts
+from vellum.llm.labelled import bounded_sample
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, ids string, score int, length int, fp int, text2 string"
@@ -428,14 +429,14 @@ def labelled(spark, n=600):
         text = " ".join(x + ("." if k % 9 == 8 else "") for k, x in enumerate(w))
         rows.append((i, text, "z"))
         labels.append((i, int(not bad), int(toxic), "z"))
-    docs = spark.createDataFrame([*rows, (None, "x", "z"), (n, None, "z"), (n + 1, "", "z"), rows[5]], "doc_id long, text string, score string")
+    docs = spark.createDataFrame([*rows, (None, "x", "z"), (n, None, "z"), (n + 1, "", "z"), rows[5], (n + 2, "an er th on " * 40_000, "z")], "doc_id long, text string, score string")
     return docs, spark.createDataFrame([*labels, (n + 9, 1, None, "z"), (None, 1, 1, "z"), (3, None, None, "z")], "doc_id long, quality int, toxic int, text string"), {i: (q, t) for i, q, t, _ in labels}, {i: t for i, t, _ in rows}
 
 
 def test_classifiers_on_held_out_rows(spark):
     docs, labels, truth, text = labelled(spark)
     got = quality_classifier.score(docs, quality_classifier.fit(docs, labels)).collect()
-    assert len(got) == 604
+    assert len(got) == 605
     held = [r for r in got if r.doc_id in truth and r.held_out]
     assert {r.doc_id for r in held} == {i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1}
     assert np.mean([r.predicted == truth[r.doc_id][0] for r in held]) > 0.97
@@ -457,6 +458,73 @@ def test_classifiers_without_labels(spark):
     assert quality_classifier.score(docs.limit(0), model).count() == 0
 
 
+def test_noisy_or_and_its_gradient():
+    texts = ["one two. three one one!\nfour", "two, \"three.\" five", None, "", "four " * 130, "six? (one.) two"]
+    y = np.array([1, 0, 0, 1, 0, 1])
+    data, places = toxicity.bags(pa.array(texts), y)
+    cut = [[["one", "two."], ["three", "one", "one!"], ["four"]], [["two,", '"three."'], ["five"]], [[]], [[]], [["four"]] * 3, [["six?"], ["(one.)"], ["two"]]]
+    rng = np.random.default_rng(1)
+    at = {int(p): i for i, p in enumerate(places)}
+
+    def slow(w, bias):
+        out = 0.0
+        for sentences, label, c in zip(cut, y, data.cost, strict=True):
+            clean = 1.0
+            for s in sentences:
+                z = bias + sum(w[at[f]] for x in dict.fromkeys(s) for f in toxicity.word_features(x))
+                clean *= 1 - 1 / (1 + np.exp(-z))
+            out -= c * np.log(1 - clean if label else clean)
+        return out / data.cost.sum()
+
+    for _ in range(5):
+        w, bias = rng.normal(size=len(places)) / 3, float(rng.normal())
+        value, grad = data.loss(w, bias)
+        assert abs(value - slow(w, bias)) < 1e-9
+        for i in rng.integers(0, len(places), 10):
+            d = np.zeros(len(places))
+            d[i] = 1e-5
+            assert abs((slow(w + d, bias) - slow(w - d, bias)) / 2e-5 - grad[i]) < 1e-6
+        assert abs((slow(w, bias + 1e-5) - slow(w, bias - 1e-5)) / 2e-5 - grad[-1]) < 1e-6
+    weight = np.zeros(toxicity.SIZE, np.float32)
+    weight[places] = w
+    score, _ = toxicity.Scorer(toxicity.Model(weight, bias)).score(pa.array(texts))
+    for got, sentences in zip(score, cut, strict=True):
+        z = [bias + sum(float(weight[f]) for x in dict.fromkeys(s) for f in toxicity.word_features(x)) if s else -30 for s in sentences]
+        assert abs(got - toxicity.noisy_or(np.array(z))) < 1e-5
+
+
+def test_offending_sentences_are_located():
+    weight = np.zeros(toxicity.SIZE, np.float32)
+    weight[toxicity.word_features("vile")] = 5
+    text = " \u00e9t\u00e9 ok. A vile thing! Fine.\nNo end but vile\u3000 \n"
+    _, spans = toxicity.Scorer(toxicity.Model(weight, -4.0)).score(pa.array(["x", text, "", "vile " * 100]))
+    assert [text[s["start"] : s["end"]] for s in spans[1]] == ["A vile thing!", "No end but vile"]
+    assert (spans[0], spans[2]) == ([], []) and [(s["start"], s["end"]) for s in spans[3]] == [(0, 64 * 5 - 1), (320, 499)]
+
+
+def test_fitting_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 + 1000 * (i == 3)), "z") for i in range(40)] + [(5, "again", "z")], "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows = bounded_sample(docs, labels, "toxic", 5, 0, {0: 100, 1: 100}, 120).collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r.y] += len(r.text)
+        assert zlib.crc32(str(r.doc_id).encode()) % 5 != 0 and r.y == r.doc_id % 2
+    assert 100 < sizes[0] <= 120 and 100 < sizes[1] <= 120 and 3 not in {r.doc_id for r in rows}
+    assert len(bounded_sample(docs, labels, "toxic", 5, 0, {0: 4, 1: 3}, 1 << 20).select("doc_id").distinct().collect()) == 7
+
+
+def test_log_count_ratios_are_those_of_counts(spark):
+    rng = random.Random(5)
+    rows = [(" ".join(rng.choice(["a", "B", "c1", "dd", "!"]) for _ in range(rng.randint(0, 9))), rng.randint(0, 1)) for _ in range(60)]
+    got = quality_classifier.log_count_ratios(spark.createDataFrame([*rows, (None, 1)], "text string, y int"))
+    p, q = np.ones(quality_classifier.SIZE), np.ones(quality_classifier.SIZE)
+    for t, y in rows:
+        for f in set(quality_classifier.Grams().features(t).tolist()):
+            (p if y else q)[f] += 1
+    assert np.allclose(got, np.log(p / p.sum()) - np.log(q / q.sum()))
+
+
 def test_hinge_loss_model_is_optimal():
     rng = np.random.default_rng(2)
     rows = [np.sort(rng.choice(40, 8, replace=False)) for _ in range(80)]

@@ -29,7 +29,7 @@ from vellum.llm.cut import WHITE, Store, Texts, strings
 
 END = 256  # the symbol that follows a word's last byte where the vocabulary marks word ends
 STOP = 257  # the symbol that follows it elsewhere; no token is spelled with it
-WORDS, CHUNKS = 400_000, 700_000  # what a worker keeps
+WORDS, CHUNKS = 300_000, 500_000  # what a worker keeps
 ARCS = 1 << 20  # pairs that the arc table holds before it is emptied
 STEP = 1 << 18  # symbols that are swept at once
 

@@ -7,7 +7,6 @@ are there already), so that no text can close a turn and every text can be read
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import os
 import re
@@ -17,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import worker_own
+
 #: What opens and closes a turn by role; any other role is written out.
 BEGIN = "<s>"
 TURN = {"system": ("[SYS] ", " [/SYS]"), "user": ("[INST] ", " [/INST]"), "assistant": ("[OUT] ", " </s>")}
@@ -76,9 +77,12 @@ def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) ->
     return on, under
 
 
-@functools.lru_cache(2)
 def tokenizer(path: str):
-    """One for each Python worker and file."""
+    """One for each Python worker."""
+    return worker_own(("chat_format", path), lambda: _load(path))
+
+
+def _load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 

@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import map_text, narrow
-from vellum.llm.labelled import remainder, sample, training
+from vellum.llm.common import map_text, narrow, worker_own
+from vellum.llm.labelled import bounded_sample, labelled_texts, remainder, training
 
 BITS = 18
 SIZE = 1 << BITS
 CACHE = 400_000
-#: Rows of each class that the hinge-loss model is fitted on at most; the log-count ratios use all labelled rows.
+#: Rows of each class, and bytes of their texts, that the hinge-loss model is fitted on at most; the log-count ratios use all labelled rows.
 MAX_FIT = 3000
+MAX_FIT_BYTES = 256 << 20
 _RUNS = (re.compile(r"[^\W\d_]+"), re.compile(r"\d+"))
 
 
@@ -69,13 +70,9 @@ class Grams(dict):
         return out
 
 
-_grams: list[Grams] = []
-
-
 def grams() -> Grams:
-    if not _grams:
-        _grams.append(Grams())
-    return _grams[0]
+    """One for each Python worker."""
+    return worker_own("grams", Grams)
 
 
 @dataclass(frozen=True)
@@ -147,12 +144,11 @@ def logistic_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(p[0]), 1e-3), float(p[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, divisor: int = 3, held_out: int = 1, max_fit: int = MAX_FIT) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, divisor: int = 3, held_out: int = 1, max_fit: int = MAX_FIT, max_bytes: int = MAX_FIT_BYTES) -> Model:
     """A model learned from labels.quality of the rows that aren't held out; without such rows every score is one half."""
     docs = narrow(docs, "doc_id", "text")
-    train = training(labels, "quality", divisor, held_out)
-    ratio = log_count_ratios(docs.join(train.hint("shuffle_hash"), "doc_id"))
-    chosen = F.broadcast(sample(train, {0: max_fit, 1: max_fit}))
+    ratio = log_count_ratios(labelled_texts(docs, training(labels, "quality", divisor, held_out)))
+    rows = bounded_sample(docs, labels, "quality", divisor, held_out, {0: max_fit, 1: max_fit}, max_bytes)
 
     def featurise(batches):
         for b in batches:
@@ -160,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, divisor: int = 3, held_out: int = 1,
             yield pa.record_batch([pa.array([r.tobytes() for r in rows], pa.binary()), b.column("y"), b.column("doc_id")], ["f", "y", "doc_id"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table = docs.join(chosen, "doc_id").select("text", "y", "doc_id").mapInArrow(featurise, f"f binary, y int, doc_id {kind}").toArrow().sort_by("doc_id")
+    table = rows.select("text", "y", "doc_id").mapInArrow(featurise, f"f binary, y int, doc_id {kind}").toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
     rows = [np.frombuffer(x, np.int32) for x in table.column("f").to_pylist()]
     y = np.array(table.column("y").to_pylist(), np.int64)
     if len(set(y.tolist())) < 2:
@@ -192,7 +188,11 @@ def score(docs: DataFrame, model: Model, divisor: int = 3, held_out: int = 1) ->
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows, with all their columns, whose predicted label is 1."""
+    """The rows, with all their columns, whose predicted label is 1.
+
+    A null or empty text is judged by the bias alone; repeated rows are judged each for itself; an empty table gives an
+    empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     text = names.index("text")

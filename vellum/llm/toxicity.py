@@ -1,16 +1,16 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's chance of being toxic is a logistic function of the summed weights of its
-words, a word's weight being the sum of those of its whole and its character n-grams; the document's is the noisy-or of
-its sentences. Only document labels are learned from; the sentences that carry a document's score are then located.
+different words, a word's weight being the sum of those of its whole and of its beginnings; the document's is the
+noisy-or of its sentences. Only document labels are learned from: weights start at zero and stay there unless several
+documents ask for them (an L1 penalty), so that what few labelled texts share by chance isn't learned. A sentence without
+a word that has weight takes no part in scores, lest length alone make a text toxic. The sentences that carry a
+document's score are then located.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,43 +18,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import map_text, narrow
-from vellum.llm.labelled import remainder, sample, training
+from vellum.llm.common import map_text, narrow, worker_own
+from vellum.llm.cut import WHITE, Texts
+from vellum.llm.labelled import bounded_sample, remainder
 
 BITS = 18
 SIZE = 1 << BITS
 CACHE = 400_000
-#: Rows that the model is fitted on at most, by label.
+#: Rows that the model is fitted on at most, by label, and the bytes of text of each label's rows (by hash of doc_id, the first that fit).
 MAX_FIT = {0: 4000, 1: 2000}
-#: A sentence without an end is cut after so many words, so that none sums without bound.
+MAX_FIT_BYTES = 64 << 20
+#: What a sentence is: it ends with an end mark, with its line, or with so many words.
 MAX_WORDS = 64
-BREAK = "\x00"
-_END = re.compile(r"[.!?][\"')\]]*$").search
-_TOKEN = re.compile(r"\n|[^\s]+")
+PREFIXES = range(2, 9)
+_END_MARKS, _CLOSERS, _EDGES = ".!?", "\"')]", ".,;:!?\"'()[]|*#%&$"
 
 
 def word_features(word: str) -> list[int]:
-    """Places of the word and of its 4- and 5-letter n-grams with its edges marked; punctuation around it is dropped."""
-    w = word.lower().strip(".,;:!?\"'()[]|*#%&$")
+    """Places of the word and of its beginnings of 2 to 8 letters; punctuation around it is dropped."""
+    w = word.lower().strip(_EDGES)
     if not w:
         return []
-    edged = f"<{w}>"
-    grams = {f"={w}", *(edged[i : i + n] for n in (4, 5) for i in range(len(edged) - n + 1))}
+    grams = {f"={w}", *(f"<{w[:n]}" for n in PREFIXES if n <= len(w))}
     return sorted({zlib.crc32(g.encode()) >> (32 - BITS) for g in grams})
 
 
-def tokens(text: str | None) -> list[str]:
-    return (text or "").replace(BREAK, " ").replace("\n", f" {BREAK} ").split()
+def ends_sentence(part: str) -> bool:
+    """Whether a sentence ends with this word and the white space behind it."""
+    word = part.rstrip(WHITE)
+    return "\n" in part[len(word) :] or word.rstrip(_CLOSERS).endswith(tuple(_END_MARKS))
+
+
+class Sentences:
+    """A batch of texts cut into words (each with the white space behind it) and these into sentences; a text without words is one empty sentence."""
+
+    def __init__(self, column: pa.Array, info):
+        """info: for a list of words an array of whatever is known of each, and whether it ends a sentence."""
+        self.texts = texts = Texts(column)
+        white = texts.white()
+        begin = np.zeros(len(white), bool)
+        begin[1:] = white[:-1] & ~white[1:]
+        words, self.place, self.first = texts.parts(begin)
+        self.starts = np.flatnonzero(begin)
+        self.known, ends = info(words.to_pylist())
+        n = len(self.place)
+        opens = np.zeros(n + 1, bool)
+        opens[1:] = np.append(ends[self.place[:-1]], True) if n else True
+        opens[self.first[:-1]] = True
+        opens = opens[:n]
+        start = np.flatnonzero(opens)
+        since = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
+        opens |= since % MAX_WORDS == 0
+        number = np.cumsum(opens) - 1  # sentences that have words
+        count = np.diff(np.append(0, np.cumsum(opens))[self.first])
+        empty = count == 0
+        # texts without words have a sentence too
+        self.count = np.where(empty, 1, count)
+        self.of_text = np.repeat(np.arange(len(count)), self.count)
+        filled = np.flatnonzero(~empty[self.of_text])
+        self.number = filled[number] if n else number
+        self.begin = np.flatnonzero(opens)
+        self.filled = filled
+
+    def pairs(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sentence, word's place) of each different word of each sentence, of words for which keep says so."""
+        at = np.flatnonzero(keep[self.place])
+        width = max(len(keep), 1)
+        both = np.unique(self.number[at] * width + self.place[at])
+        return both // width, both % width
 
 
-def sentence_of(ends: np.ndarray) -> np.ndarray:
-    """The number of each token's sentence: a new one begins after an end, and after MAX_WORDS words without one."""
-    if not len(ends):
-        return np.zeros(0, np.int64)
-    begin = np.concatenate([[True], ends[:-1]])
-    start = np.flatnonzero(begin)
-    place = np.arange(len(ends)) - np.repeat(start, np.diff(np.append(start, len(ends))))
-    return np.cumsum(begin | (place % MAX_WORDS == 0)) - 1
+def noisy_or(z: np.ndarray) -> float:
+    """1 - the product of the chances that each sentence isn't toxic."""
+    return float(-np.expm1(-np.logaddexp(0, np.clip(z, -30, 30)).sum()))
 
 
 @dataclass(frozen=True)
@@ -63,127 +99,135 @@ class Model:
     bias: float
 
 
-def noisy_or(z: np.ndarray) -> float:
-    """1 - the product of the chances that each sentence isn't toxic."""
-    return float(-np.expm1(-np.logaddexp(0, np.clip(z, -30, 30)).sum()))
+@dataclass
+class Bags:
+    """Sentences of labelled texts: features of words, words of sentences, sentences of texts."""
+
+    feature: np.ndarray
+    owner: np.ndarray
+    word: np.ndarray
+    sentence: np.ndarray
+    bag: np.ndarray
+    y: np.ndarray
+    cost: np.ndarray
+    n_words: int
+    n_features: int
+
+    def loss(self, w: np.ndarray, bias: float) -> tuple[float, np.ndarray]:
+        """The mean log loss of the noisy-or, and its gradient by w and, last, the bias."""
+        of_word = np.bincount(self.owner, w[self.feature], self.n_words)
+        z = np.clip(np.bincount(self.sentence, of_word[self.word], len(self.bag)) + bias, -30, 30)
+        clean = np.bincount(self.bag, np.logaddexp(0, z), len(self.y))  # -log of the chance that no sentence is toxic
+        toxic = np.maximum(-np.expm1(-clean), 1e-12)
+        value = (self.cost * np.where(self.y == 1, -np.log(toxic), clean)).sum() / self.cost.sum()
+        # by z: p where the label is 0, -p (1 - P) / P where it is 1
+        outer = self.cost * np.where(self.y == 1, -(1 - toxic) / toxic, 1.0)
+        g = outer[self.bag] / (1 + np.exp(-z))
+        by_word = np.bincount(self.word, g[self.sentence], self.n_words)
+        return float(value), np.append(np.bincount(self.feature, by_word[self.owner], self.n_features), g.sum()) / self.cost.sum()
+
+
+def bags(texts: pa.Array, y: np.ndarray) -> tuple[Bags, np.ndarray]:
+    """The texts' sentences, and the place of each feature that they have."""
+    words: list[str] = []
+
+    def info(found: list[str]):
+        words.extend(found)
+        return None, np.fromiter(map(ends_sentence, found), bool, len(found))
+
+    cut = Sentences(texts, info)
+    sentence, word = cut.pairs(np.ones(len(words), bool))
+    size, feature = [], []
+    for x in words:
+        own = word_features(x.rstrip(WHITE))
+        feature += own
+        size.append(len(own))
+    places, feature = np.unique(np.array(feature, np.int64), return_inverse=True)
+    n0, n1 = int((y == 0).sum()), int((y == 1).sum())
+    cost = np.where(y == 1, min(4.0, max(1.0, n0 / max(n1, 1))), 1.0)  # the rarer label counts up to four times
+    return Bags(feature.astype(np.int32), np.repeat(np.arange(len(words), dtype=np.int32), size), word.astype(np.int32), sentence.astype(np.int32), cut.of_text.astype(np.int32), y, cost, len(words), len(places)), places
 
 
-def fit_bags(texts: Iterable[str | None], y: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 5e-5, least: int = 8) -> Model:
-    """Weights by Adam on the mean log loss of the noisy-or; a feature must be in `least` texts."""
-    places: dict[str, int] = {}
-    word, bag, ends = array("i"), array("i"), array("b")  # compact, as the driver holds them
-    for i, t in enumerate(texts):
-        found = tokens(t)
-        word.extend([places.setdefault(x, len(places)) for x in found])
-        bag.extend([i] * len(found))
-        ends.extend([x == BREAK or bool(_END(x)) for x in found])
-        if found:
-            ends[-1] = 1
-    if not word or len(set(y.tolist())) < 2:
-        return Model(np.zeros(SIZE, np.float32), -4.0)
-    word, bag = np.frombuffer(word, np.int32), np.frombuffer(bag, np.int32)
-    sentence = sentence_of(np.frombuffer(ends, np.int8) > 0).astype(np.int32)
-    bag_of = np.zeros(sentence[-1] + 1, np.int32)
-    bag_of[sentence] = bag
-    n_words, size, feature = len(places), array("i"), array("i")
-    for w in places:
-        own = word_features(w) if w != BREAK else []
-        feature.extend(own)
-        size.append(len(own))
-    del places
-    feature, owner = np.frombuffer(feature, np.int32), np.repeat(np.arange(n_words, dtype=np.int32), size)
-    pairs = np.unique(bag.astype(np.int64) * n_words + word)  # the words of each text, once
-    in_texts = np.bincount(feature, np.bincount(pairs % n_words, minlength=n_words)[owner], SIZE)
-    del pairs
-    keep = in_texts[feature] >= least
-    feature, owner = feature[keep], owner[keep]
-    own, feature = np.unique(feature, return_inverse=True)
-    feature = feature.astype(np.int32)
-    w, bias = np.zeros(len(own)), -4.0
-    m, v, t = np.zeros(len(own) + 1), np.zeros(len(own) + 1), 0
-    for _ in range(rounds):
-        of_word = np.bincount(owner, w[feature], n_words)
-        z = np.bincount(sentence, of_word[word], len(bag_of)) + bias
-        z = np.clip(z, -30, 30)
-        clean = np.bincount(bag_of, np.logaddexp(0, z), len(y))  # -log of the chance that none is toxic
-        p = 1 / (1 + np.exp(-z))
-        toxic = np.maximum(-np.expm1(-clean), 1e-9)
-        # d loss / d z: p where the label is 0, -p (1 - P) / P where it is 1
-        g = p * np.where(y == 1, -(1 - toxic) / toxic, 1.0)[bag_of]
-        g_word = np.bincount(word, g[sentence], n_words)
-        grad = np.append(np.bincount(feature, g_word[owner], len(own)) / len(y) + decay * w, g.sum() / len(y))
-        t += 1
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-        w, bias = w - step[:-1], bias - float(step[-1])
+def fit_bags(texts: pa.Array, y: np.ndarray, rounds: int = 100, rate: float = 0.3, least: float = 2.0, share: float = 5.5e-4) -> Model:
+    """Weights by proximal Adam steps on the loss and an L1 penalty: a feature must explain about `least` texts, and `share` of all."""
     weight = np.zeros(SIZE, np.float32)
-    weight[own] = w
+    if len(set(y.tolist())) < 2:
+        return Model(weight, -4.0)
+    data, places = bags(texts, y)
+    w, bias, penalty = np.zeros(len(places)), -4.0, max(share, least / data.cost.sum())
+    m, v = np.zeros(len(places) + 1), np.zeros(len(places) + 1)
+    for t in range(1, rounds + 1):
+        _, grad = data.loss(w, bias)
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        size = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        step = size * m / (1 - 0.9**t)
+        w = w - step[:-1]
+        w, bias = np.sign(w) * np.maximum(np.abs(w) - penalty * size[:-1], 0), bias - float(step[-1])
+    weight[places] = w
     return Model(weight, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0, max_fit: dict[int, int] | None = None) -> Model:
-    """A model learned from labels.toxic of a bounded sample of the rows that aren't held out."""
-    docs = narrow(docs, "doc_id", "text")
-    chosen = F.broadcast(sample(training(labels, "toxic", divisor, held_out), max_fit or MAX_FIT))
-    table = docs.join(chosen, "doc_id").select("doc_id", "text", "y").toArrow().sort_by("doc_id")
-    return fit_bags((x.as_py() for x in table.column("text")), np.array(table.column("y").to_pylist(), np.int64))
+def fit(docs: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0, max_fit: dict[int, int] | None = None, max_bytes: int = MAX_FIT_BYTES) -> Model:
+    """A model learned from labels.toxic of a bounded sample of the rows that aren't held out: `max_fit` rows and `max_bytes` of text of each label."""
+    rows = bounded_sample(docs, labels, "toxic", divisor, held_out, max_fit or MAX_FIT, max_bytes)
+    table = rows.select("doc_id", "text", "y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return fit_bags(table.column("text").combine_chunks(), np.array(table.column("y").to_pylist(), np.int64))
 
 
-class Scorer(dict):
-    """Tokens to their weights and whether they end a sentence, for one model."""
+class Scorer:
+    """Scores batches by one model and keeps what it knows of words."""
 
     def __init__(self, model: Model):
-        self.model = model
-
-    def __missing__(self, token: str) -> tuple[float, bool]:
-        x = self[token] = (0.0, True) if token == BREAK else (float(self.model.weight[word_features(token)].sum()), bool(_END(token)))
-        return x
-
-    def sentences(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The number of each token's sentence, and each sentence's log odds."""
-        if len(self) > CACHE:
-            self.clear()
-        found = list(map(self.__getitem__, tokens(text)))
-        if not found:
-            return np.zeros(0, np.int64), np.full(1, self.model.bias)
-        weight, ends = zip(*found, strict=True)
-        number = sentence_of(np.array(ends))
-        return number, np.bincount(number, np.array(weight)) + self.model.bias
-
-    def locate(self, text: str, number: np.ndarray, z: np.ndarray) -> list[dict]:
-        """(start, end, score) of the sentences that are toxic more likely than not, or the likeliest if none is; in characters."""
-        at = np.flatnonzero(z >= min(0.0, z.max()))
-        spans = [(m.start(), m.end()) for m in _TOKEN.finditer(text.replace(BREAK, " ")) if m[0] == "\n" or m[0].strip()]
-        out = []
-        for i in at.tolist():
-            a, b = np.searchsorted(number, [i, i + 1])
-            if b <= len(spans):
-                out.append({"start": spans[a][0], "end": spans[b - 1][1], "score": float(1 / (1 + np.exp(-z[i])))})
-        return out
-
-
-_scorers: dict[int, Scorer] = {}
+        self.model, self.known = model, {}
+
+    def info(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        known, weight = self.known, self.model.weight
+        for x in set(words) - known.keys():
+            known[x] = float(weight[word_features(x.rstrip(WHITE))].sum()), ends_sentence(x)
+        found = np.array([known[x] for x in words]).reshape(-1, 2)
+        return found[:, 0], found[:, 1] > 0
+
+    def score(self, column: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
+        """Each text's score and the (start, end, score), in characters, of sentences that are toxic more likely than not, or of the likeliest; none for a score under one half."""
+        cut = Sentences(column, self.info)
+        sentence, word = cut.pairs(cut.known != 0)
+        z = np.bincount(sentence, cut.known[word], len(cut.of_text)) + self.model.bias
+        none = np.ones(len(z), bool)
+        none[sentence] = False
+        z = np.where(none, -30.0, np.clip(z, -30, 30))
+        score = -np.expm1(-np.bincount(cut.of_text, np.logaddexp(0, z), len(cut.count)))
+        spans: list[list[dict]] = [[] for _ in score]
+        first = np.cumsum(cut.count) - cut.count
+        begin = np.zeros(len(z) + 1, np.int64)  # each sentence's first word
+        begin[cut.filled], begin[-1] = cut.begin, len(cut.place)
+        starts = np.append(cut.starts, len(cut.texts.data))
+        for t in np.flatnonzero(score >= 0.5).tolist():
+            own = np.arange(first[t], first[t] + cut.count[t])
+            if cut.first[t] == cut.first[t + 1]:
+                continue
+            base = int(cut.texts.offsets[t])
+            for s in own[z[own] >= min(0.0, z[own].max())].tolist():
+                last = cut.first[t + 1] if s == own[-1] else begin[s + 1]
+                a, b = int(starts[begin[s]]), int(starts[last])
+                text, at = cut.texts.data[a:b].tobytes().decode(), len(cut.texts.data[base:a].tobytes().decode())
+                spans[t].append({"start": at + len(text) - len(text.lstrip(WHITE)), "end": at + len(text.rstrip(WHITE)), "score": float(1 / (1 + np.exp(-z[s])))})
+        return score, spans
 
 
 def score(docs: DataFrame, model: Model, divisor: int = 5, held_out: int = 0) -> DataFrame:
     """(doc_id, held_out, score, predicted, sentences) for every row; sentences: the spans that make a predicted document toxic.
 
-    A null or empty text is one empty sentence. Repeated rows are scored each for itself; a null doc_id isn't held out;
-    columns other than doc_id and text are ignored; an empty table gives an empty one.
+    A null or empty text scores zero. Repeated rows are scored each for itself; a null doc_id isn't held out;
+    columns other than doc_id and text are ignored; an empty table gives an empty one. Very long texts are scored whole.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        m = sent.value
-        if id(m) not in _scorers:
-            _scorers.clear()
-            _scorers[id(m)] = Scorer(m)
-        scorer, s, found = _scorers[id(m)], [], []
-        for t in part.column("text").to_pylist():
-            number, z = scorer.sentences(t)
-            s.append(noisy_or(z))
-            found.append(scorer.locate(t, number, z) if s[-1] >= 0.5 and t else [])
+        model = sent.value
+        s, found = worker_own(("toxicity", id(model)), lambda: Scorer(model)).score(part.column("text"))
         return pa.record_batch([part.column("doc_id"), pa.array(s, pa.float64()), pa.array(found, spans)], ["doc_id", "score", "sentences"])
 
     docs = narrow(docs, "doc_id", "text")
