@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -66,10 +68,13 @@ def narrow(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def ready(df: DataFrame) -> DataFrame:
-    """Makes sure that checkpoint() has a folder: the one the cluster names, or, where that is unset, one of this run."""
+    """Makes sure that checkpoint() has a folder: the one that spark.checkpoint.dir names, or, without a cluster, one of this run."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import discard, map_text, narrow, ready, stored
+from vellum.llm.common import discard, map_text, narrow, ready, slices, stored
 from vellum.llm.cut import Texts, strings
 from vellum.llm.suffix_array import common, maximal_repeats, neighbours, reach
 
@@ -148,11 +148,18 @@ def _place() -> list[Column]:
 def _cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (ah, ch, k1, k2, pos, start, end, single, hot) with the bytes of each context instead of its end."""
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("ah", "ch", "pos", "start", "end", "single", "hot")).alias("wanted"))
-    # equal rows have equal contexts: the text of one will do
     joined = docs.join(lists.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "wanted")
     names = ("ah", "ch", "pos", "start", "single", "hot")
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches):
+        met: set[tuple[int, int]] = set()  # equal rows, which share a task, have equal contexts: one will do
+        for batch in batches:
+            keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True))
+            first = [k not in met and not met.add(k) for k in keys]
+            for part in slices(batch.filter(pa.array(first, pa.bool_())), "text", 4 << 20):
+                yield cut(part)
+
+    def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         column = part.column("wanted")
         flat = column.flatten()
         owner = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
@@ -160,10 +167,10 @@ def _cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         base = texts.offsets[owner].astype(np.int64)
         first, last = (base + flat.field(c).to_numpy() for c in ("start", "end"))
         data = texts.data.tobytes()
-        cut = pa.array([data[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())
-        return pa.record_batch([part.column("k1").take(pa.array(owner)), part.column("k2").take(pa.array(owner)), *(flat.field(c) for c in names), cut], ["k1", "k2", *names, "bytes"])
+        held = pa.array([data[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())
+        return pa.record_batch([part.column("k1").take(pa.array(owner)), part.column("k2").take(pa.array(owner)), *(flat.field(c) for c in names), held], ["k1", "k2", *names, "bytes"])
 
-    return map_text(joined, run, "k1 long, k2 int, ah long, ch long, pos int, start int, single boolean, hot boolean, bytes binary").dropDuplicates(["ah", "ch"])
+    return joined.mapInArrow(run, "k1 long, k2 int, ah long, ch long, pos int, start int, single boolean, hot boolean, bytes binary")
 
 
 SPAN = "k1 long, k2 int, start int, end int"
@@ -330,11 +337,10 @@ def _leaves_of(seen: DataFrame) -> DataFrame:
     return seen.groupBy("ah", "ch").agg(F.sum(F.col("form").bitwiseAND(3)).alias("n"), *one)
 
 
-def _open_contexts(keyed: DataFrame, distinct: DataFrame, max_contexts: int) -> DataFrame:
-    """The leaves, with their bytes, of anchors that have several of which some are single."""
+def _wanted(distinct: DataFrame, max_contexts: int) -> DataFrame:
+    """The leaves of anchors that have several of which some are single."""
     many = distinct.groupBy("ah").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1").select("ah", (F.col("contexts") > max_contexts).alias("hot"))
-    wanted = distinct.join(many, "ah").select("ah", "ch", *_place(), (F.col("n") == 1).alias("single"), "hot")
-    return _cut_contexts(keyed, wanted)
+    return distinct.join(many, "ah").select("ah", "ch", *_place(), (F.col("n") == 1).alias("single"), "hot")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -359,9 +365,10 @@ def repeated_spans(keyed: DataFrame, least: int, max_contexts: int = MAX_CONTEXT
     distinct = stored(_leaves_of(seen))
     twice = distinct.where("n > 1").select("ah", "ch")
     copies = stored(seen.join(twice, ["ah", "ch"]).select(*[c for i, c in enumerate(_place()) if i != 2]))
-    discard(seen)
-    contexts = stored(_open_contexts(keyed, distinct, max_contexts))
-    discard(distinct)
+    wanted = stored(_wanted(distinct, max_contexts))
+    discard(seen, distinct)  # the largest tables; what follows reads `wanted` and `copies`
+    contexts = stored(_cut_contexts(keyed, wanted))
+    discard(wanted)
     leaves, done = _all_leaves(contexts, least, max_contexts, False)
     spans = [copies, _trees(leaves, least, _reached(least), SPAN)]
     spans += [d.where("open").select("k1", "k2", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") + least - F.col("low")).alias("end")) for d in done]
@@ -380,7 +387,7 @@ def repeat_groups(docs: DataFrame, least: int = 200, max_contexts: int = MAX_CON
     keyed = _keyed(docs)
     seen = stored(_contexts(keyed, least))
     distinct = stored(_leaves_of(seen))
-    contexts = stored(_open_contexts(keyed, distinct, max_contexts))
+    contexts = stored(_cut_contexts(keyed, _wanted(distinct, max_contexts)))
     leaves, done = _all_leaves(contexts, least, max_contexts, True)
     size = F.shiftright("form", 32) + F.shiftright(F.col("form").bitwiseAND(0xFFFFFFFF), 2)
     parts = [distinct.where("n > 1").select(F.xxhash64("ah", "ch").alias("group"), size.cast("int").alias("length"), "ah", "ch", F.shiftright("form", 32).cast("int").alias("l"))]

@@ -11,6 +11,7 @@ document's score are then located.
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,7 +85,10 @@ class Sentences:
         """(sentence, word's place) of each different word of each sentence, of words for which keep says so."""
         at = np.flatnonzero(keep[self.place])
         width = max(len(keep), 1)
-        both = np.unique(self.number[at] * width + self.place[at])
+        both = self.number[at] * width + self.place[at]
+        del at
+        both.sort()
+        both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
         return both // width, both % width
 
 
@@ -136,16 +140,22 @@ def bags(texts: pa.Array, y: np.ndarray) -> tuple[Bags, np.ndarray]:
         return None, np.fromiter(map(ends_sentence, found), bool, len(found))
 
     cut = Sentences(texts, info)
-    sentence, word = cut.pairs(np.ones(len(words), bool))
-    size, feature = [], []
+    sentence, word = (x.astype(np.int32) for x in cut.pairs(np.ones(len(words), bool)))
+    of_text = cut.of_text.astype(np.int32)
+    del cut
+    size, feature = array("i"), array("i")  # compact, as the driver holds them
     for x in words:
         own = word_features(x.rstrip(WHITE))
-        feature += own
+        feature.extend(own)
         size.append(len(own))
-    places, feature = np.unique(np.array(feature, np.int64), return_inverse=True)
+    feature, owner = np.frombuffer(feature, np.int32), np.repeat(np.arange(len(words), dtype=np.int32), np.frombuffer(size, np.int32))
+    there = np.zeros(SIZE, bool)
+    there[feature] = True
+    places = np.flatnonzero(there)
+    feature = (np.cumsum(there) - 1).astype(np.int32)[feature]
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
     cost = np.where(y == 1, min(4.0, max(1.0, n0 / max(n1, 1))), 1.0)  # the rarer label counts up to four times
-    return Bags(feature.astype(np.int32), np.repeat(np.arange(len(words), dtype=np.int32), size), word.astype(np.int32), sentence.astype(np.int32), cut.of_text.astype(np.int32), y, cost, len(words), len(places)), places
+    return Bags(feature, owner, word, sentence, of_text, y, cost, len(words), len(places)), places
 
 
 def fit_bags(texts: pa.Array, y: np.ndarray, rounds: int = 100, rate: float = 0.3, least: float = 2.0, share: float = 5.5e-4) -> Model:
