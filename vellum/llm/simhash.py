@@ -18,13 +18,15 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import discard, map_text, narrow, stored
 from vellum.llm.components import components
 
 FAN = 8
+PLACE_BITS = 20  # shingles are counted by this many bits of their hash, however many there are
+PLACES = 1 << PLACE_BITS
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -289,17 +291,56 @@ def bits_at(similarity: float) -> int:
     return int(64 * p + 6 * math.sqrt(64 * p * (1 - p)))
 
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each of PLACES places by the upper bits of their hash; that many numbers come to the driver at most."""
+
+    def count(batches):
+        table = np.zeros(PLACES, np.int64)
+        for b in batches:
+            table += np.bincount(_places(b.column("h").flatten().to_numpy()), minlength=PLACES)
+        at = np.flatnonzero(table)
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(table[at])], ["p", "c"])
+
+    found = sets.select("h").mapInArrow(count, "p int, c long").groupBy("p").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(PLACES, np.int64)
+    out[found.column("p").to_numpy()] = found.column("c").to_numpy()
+    return out
+
+
+def _places(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+
+
 def postings(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(h, node, n, pos): the shingles, rarest first, of which two sets with a Jaccard similarity of num / den share one.
 
     A set of n shingles needs num / den of them in common with the other, so one of the first n - ceil(n num / den) + 1
-    is. pos is the shingle's place in the set; shingles that are in one set only come first and are left out.
+    is, in whatever order all sets are sorted. That is by the count of the shingle's place, then its hash: a place that
+    holds a frequent shingle comes late. pos is the shingle's place in the set; those alone in theirs are left out.
     """
-    each = sets.select("node", "n", F.explode("h").alias("h"))
-    counts = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    of = Window.partitionBy("node")
-    place = F.col("n") - F.count("*").over(of) + F.row_number().over(of.orderBy("c", "h")) - 1
-    return each.join(counts, "h").select("h", "node", "n", place.alias("pos")).where(f"(n - pos) * {den} >= n * {num}")
+    sent = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
+
+    def run(batches):
+        counts = sent.value
+        for batch in batches:
+            ends = np.cumsum(batch.column("n").to_numpy())
+            i = 0
+            while i < batch.num_rows:  # some half million shingles at a time
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 19), side="right")))
+                part = batch.slice(i, j - i)
+                i = j
+                h, n = part.column("h").flatten().to_numpy(), part.column("n").to_numpy()
+                row = np.repeat(np.arange(len(n)), n)
+                c = counts[_places(h)]
+                order = np.lexsort((h, c, row))
+                h, c = h[order], c[order]
+                pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                keep = (c > 1) & ((n[row] - pos) * den >= n[row] * num)
+                node, pos = part.column("node").to_numpy()[row[keep]], pos[keep]
+                yield pa.record_batch([pa.array(x) for x in (h[keep], node, n[row[keep]], pos)], ["h", "node", "n", "pos"])
+
+    each = sets.select("h", "node", "n").mapInArrow(run, "h long, node long, n long, pos long")
+    return each
 
 
 def pairs(rows: DataFrame, low: int, high: int, num: int, den: int) -> DataFrame:
@@ -366,15 +407,20 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, see
     near = ties.select(F.col("a").alias("fp")).union(ties.select("b")).union(nodes.groupBy("fp").count().where("count > 1").select("fp")).distinct()
     chosen = nodes.join(near, "fp", "left_semi").select("first.k1", "first.k2")
     sets = stored(shingle_sets(docs.join(chosen.hint("shuffle_hash"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), words, seed))
-    left = postings(sets, num, den).withColumn("label", F.col("node")).checkpoint()
+    each = stored(postings(sets, num, den))
+    shared = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    left = stored(each.join(shared, "h", "left_semi").withColumn("label", F.col("node")))
+    discard(each)
     root, low, high = None, 1, 5
     while not left.isEmpty():
         found = similar(pairs(left, low, high, num, den), sets, num, den)
         root = components(found if root is None else found.union(root.select("node", "root"))).checkpoint()
-        left = left.drop("label").join(root, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("label"))
-        open_ = left.groupBy("h").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where(f"m > {high} and x != y")
-        left = left.join(open_, "h", "left_semi").checkpoint()
+        named = left.drop("label").join(root, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("label"))
+        open_ = named.groupBy("h").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where(f"m > {high} and x != y")
+        last, left = left, stored(named.join(open_, "h", "left_semi"))
+        discard(last)  # and the shuffles of the round
         low, high = high, 8 * high
+    discard(left)
     discard(sets)
     if root is None:
         return nodes.select("node", F.col("node").alias("root"), "first")
