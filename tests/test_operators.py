@@ -41,6 +41,8 @@ def test_gap_recovery_chains(spark):
     key = spark.createDataFrame([("d", 25)], "doc_id string, num int")
     more = body.union(spark.createDataFrame([("d", 1, 30, 2600.0, 2610.0, 10.0, 50.0, "2S) h")], LINE))
     assert [r.q_num for r in lines.recover_markers(marks, more, key).collect()] == ["25"]
+    odd = body.union(spark.createDataFrame([("d", 1, 31, 2250.0, 2260.0, 10.0, 50.0, "² x"), ("d", 1, 32, 2250.0, 2260.0, 10.0, 50.0, "① y"), ("d", 1, 33, 0.0, 0.0, 0.0, 0.0, None)], LINE))
+    assert lines.recover_markers(marks, odd).count() == 3 and lines.recover_markers(marks.limit(0), odd).count() == 0
 
 
 def test_dedup_compares_with_the_last_kept(spark):
@@ -100,7 +102,15 @@ def test_flags_and_gaps(spark):
     tail = spark.createDataFrame([("d", 1, 52.0, 57.0, 10.0, 50.0), ("d", 1, 58.0, 63.0, 10.0, 50.0)], text.schema)
     assert [r.q_num for r in review.undercovered(alone, tail).collect()] == ["1"]
     kinds = {(r.kind, r.detail) for r in review.notes(some, text).collect()}
-    assert {("duplicate", "duplicate"), ("gap", "5, 6"), ("incomplete", "orphan")} <= kinds
+    assert {("duplicate", "duplicate"), ("gap", "5, 6"), ("incomplete", "orphan 9"), ("incomplete", "overlap")} <= kinds
+    both = items(spark, (1, False, box(1, 0, 20)), (1, False, box(1, 90, 95)))
+    assert sorted((r.kind, r.detail) for r in review.notes(both).collect()) == [("duplicate", "duplicate"), ("incomplete", "page_edge")]
+    key = spark.createDataFrame([("d", n) for n in range(1, 16)], "doc_id string, num int")
+    assert [r.detail for r in review.notes(both, expected=key).where("kind = 'gap'").collect()] == ["2, 3, 4, 5, 6, 7, 8, 9, 10, 11 (+4 more)"]
+    docs = spark.createDataFrame([("d", "text"), ("e", "text"), ("f", "ai")], "doc_id string, method string")
+    assert [r.doc_id for r in review.notes(both, docs=docs).where("kind = 'low_confidence'").collect()] == ["e"]
+    nameless = both.withColumn("q_num", F.lit(None).cast("string"))
+    assert {r.flag for r in review.flags(nameless, tail.withColumn("y0", F.col("y0") - 31).withColumn("y1", F.col("y1") - 31)).collect()} == {"page_edge", "tail"}
 
 
 def test_dedup(spark):
@@ -111,6 +121,15 @@ def test_dedup(spark):
     merged = dedup.merge_batches(items(spark, (2, False, box(1, 10, 20)), (2, False, box(1, 12, 25)), (2, False, box(2, 0, 5)), (10, False, box(2, 6, 9))))
     assert {r.q_num: len(r.segments) for r in merged.collect()} == {"2": 2, "10": 1}
     assert sorted((r.q_num, r.is_solution) for r in dedup.apply_ranges(some, [1], [2], strict=True).collect()) == [("23", False), ("3", False), ("4", False), ("5", True)]
+    more = items(spark, *[(p, False, box(p, 0, 9)) for p in (1, 2, 3)])
+    ranged = lambda *a: sorted((r.q_num, r.is_solution) for r in dedup.apply_ranges(more, *a).collect())
+    assert ranged([1], [2]) == [("1", False), ("2", True)] and ranged([], [2]) == [("1", False), ("2", True), ("3", False)] and len(ranged([], [])) == 3 and ranged([1], [], True) == [("1", False)]
+
+
+def test_archives(spark):
+    rows = [(1, "q", False, False), (1, "s", True, False), (1, "a.csv", True, True), (2, "s2", True, False), (2, "b.csv", False, True)]
+    got = naming.archive_manifest(spark.createDataFrame(rows, "job_id int, file string, is_solution boolean, is_sidecar boolean"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "combined", "a.csv"), (1, "combined", "q"), (1, "combined", "s"), (1, "questions", "a.csv"), (1, "questions", "q"), (1, "solutions", "s"), (2, "combined", "s2"), (2, "solutions", "s2")]
 
 
 def test_names_collide_as_they_do(spark):

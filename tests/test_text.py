@@ -52,6 +52,9 @@ def test_names(spark):
 def test_page_ranges(spark):
     t = F.col("t")
     assert values(spark, ["1-5, 8", "3 TO 1", "", None, "99, 0"], T.page_ranges(t, F.lit(10))) == [[1, 2, 3, 4, 5, 8], [1, 2, 3], [], [], []]
+    with pytest.raises(Exception, match="Invalid page range"):
+        values(spark, ["12345678901x"], T.page_ranges(t, F.lit(10)))
+    assert values(spark, ["12345678901", "9 - 12345678901", "1-2000000000", "0007"], T.page_ranges(t, F.lit(10))) == [[], [9, 10], list(range(1, 11)), [7]]
     with pytest.raises(Exception, match="Invalid page range"):
         values(spark, ["1-x"], T.page_ranges(t))
 

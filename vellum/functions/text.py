@@ -20,11 +20,11 @@ STRONG_MARKER = r"(?iU)^q(?:ues(?:tion)?)?[.\s]?\s*(?:no[.\s:]*)?\s*[-:]?\s*(\d{
 WEAK_MARKER = r"(?U)^(\d{1,3})\s*[.)](?:\s|$)|^(\d{1,3})\s*\.\s*\("
 SECTION = r"(?i)^(?:part|section)\s*[-–—:.]?\s*(?:[IVXLCDM]+|[A-Z]|\d{1,2})\b|^this\s+section\s+contains\b"
 OPTION_START = r"^\(?\s*[A-Da-d]\s*[.)]"
-KEY_CELL = r"^\d{1,3}\s*[.):\-]?\s*\(?\s*[A-Ea-e1-5]\s*\)?$"
+KEY_CELL = r"(?U)^\d{1,3}\s*[.):\-]?\s*\(?\s*[A-Ea-e1-5]\s*\)?$"
 FOLIO = r"(?i)^(?:\d{1,4}|\d{1,4}\s*/\s*\d{1,4}|page\s*\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?|[-–—]\s*\d{1,4}\s*[-–—])$"
-OPTION_LABEL = r"(?<![A-Za-z0-9])\(?\s*([A-Da-d])\s*[.)]"
-KEY_PAIR = r"(?i)(?:^|[\s,;|])(?:Q\.?\s*)?(\d{1,3})\s*[.)\-:]?\s*\(?\s*([A-D])\s*\)?(?=$|[\s,;|])"
-LABELLED_ANSWER = r"(?i)\b(?:ans(?:wer)?|correct\s*(?:option|answer|choice)?|sol(?:ution)?|key|option)\b\s*(?:is|:|-|=|\.|\))*\s*\(?\s*([A-D])\s*\)?(?![A-Za-z])"
+OPTION_LABEL = r"(?U)(?<![A-Za-z0-9])\(?\s*([A-Da-d])\s*[.)]"
+KEY_PAIR = r"(?iU)(?:^|[\s,;|])(?:Q\.?\s*)?(\d{1,3})\s*[.)\-:]?\s*\(?\s*([A-D])\s*\)?(?=$|[\s,;|])"
+LABELLED_ANSWER = r"(?iU)\b(?:ans(?:wer)?|correct\s*(?:option|answer|choice)?|sol(?:ution)?|key|option)\b\s*(?:is|:|-|=|\.|\))*\s*\(?\s*([A-D])\s*\)?(?![A-Za-z])"
 UNSAFE = r'[\\/:*?"<>|]+'
 
 #: Letters that recognition takes for digits.
@@ -101,7 +101,7 @@ def option_letters(text: Column) -> Column:
 def key_pairs(text: Column) -> Column:
     """array<struct<num, letter>> of the answer-key pairs in the text, in order; numbers 1 to 999."""
     t = F.coalesce(text, F.lit(""))
-    nums = F.transform(F.regexp_extract_all(t, F.lit(KEY_PAIR), F.lit(1)), lambda x: x.cast("int"))
+    nums = F.transform(F.regexp_extract_all(t, F.lit(KEY_PAIR), F.lit(1)), lambda x: x.try_cast("int"))
     found = F.transform(F.regexp_extract_all(t, F.lit(KEY_PAIR), F.lit(2)), F.upper)
     pairs = F.zip_with(nums, found, lambda n, a: F.struct(n.alias("num"), a.alias("letter")))
     return F.filter(pairs, lambda p: (p["num"] >= 1) & (p["num"] <= 999))
@@ -120,14 +120,16 @@ def misread_number(token: Column) -> Column:
     return F.when(digits.rlike(r"^\d{1,3}$"), digits.try_cast("int"))
 
 
-def matches_number(text: Column, expected: Column) -> Column:
-    """Whether the line's first token, or what is before a separator in it, reads as the expected number."""
+def readings(text: Column) -> Column:
+    """The different numbers that the line's first token, or what is before a separator in it, reads as."""
     head = F.split(strip(text), r"(?U)\s+")[0]
     tries = [head, *[F.when(F.contains(head, F.lit(s)), F.split_part(head, F.lit(s), F.lit(1))) for s in (".", ")")]]
-    out = F.lit(False)
-    for t in tries:
-        out = out | F.coalesce(misread_number(t) == expected, F.lit(False))
-    return out & (expected > 0)
+    return F.array_distinct(F.filter(F.array(*map(misread_number, tries)), lambda n: n > 0))
+
+
+def matches_number(text: Column, expected: Column) -> Column:
+    """Whether the line's first token, or what is before a separator in it, reads as the expected number."""
+    return F.coalesce(F.array_contains(readings(text), expected), F.lit(False))
 
 
 def split_extension(name: Column) -> Column:
@@ -154,19 +156,22 @@ def output_file(q_num: Column, is_solution: Column, start: int = 1, ext: str = "
 
 
 def page_ranges(spec: Column, max_page: Column | None = None) -> Column:
-    """The sorted pages that "1-5, 8, 10 to 12" names; reversed ranges are turned; a bad part raises an error."""
+    """The sorted pages that "1-5, 8, 10 to 12" names; reversed ranges are turned; a bad part raises an error.
+
+    Pages under 1 or beyond max_page are left out before a range is laid out, so that numbers may be of any length.
+    """
+    top = max_page if max_page is not None else F.lit(2**31 - 2)
     norm = F.regexp_replace(F.coalesce(spec, F.lit("")), r"(?i)\bto\b", "-")
     parts = F.filter(F.transform(F.split(norm, ","), strip), lambda p: p != "")
 
     def pages(p: Column) -> Column:
         ends = F.split(F.when(p.rlike(r"^\d+$"), F.concat(p, F.lit("-"), p)).otherwise(p), r"\s*-\s*")
-        a, b = ends[0].cast("int"), ends[1].cast("int")
+        a, b = (F.when(F.length(d) > 10, F.lit(10**10)).otherwise(d.try_cast("long")) for d in (F.regexp_replace(ends[i], "^0+(?=.)", "") for i in (0, 1)))
+        low, high = F.greatest(F.least(a, b), F.lit(1)).try_cast("int"), F.least(F.greatest(a, b), top.cast("long")).cast("int")
         bad = F.raise_error(F.concat(F.lit("Invalid page range: "), p)).cast("array<int>")
-        return F.when(p.rlike(r"^\d+(?:\s*-\s*\d+)?$"), F.sequence(F.least(a, b), F.greatest(a, b))).otherwise(bad)
+        return F.when(p.rlike(r"^\d+(?:\s*-\s*\d+)?$"), F.when(low <= high, F.sequence(low, F.when(low <= high, high).otherwise(low))).otherwise(F.array().cast("array<int>"))).otherwise(bad)
 
-    found = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, pages))))
-    top = max_page if max_page is not None else F.lit(2**31 - 1)
-    return F.filter(found, lambda n: (n >= 1) & (n <= top))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, pages))))
 
 
 def strip_fences(text: Column) -> Column:

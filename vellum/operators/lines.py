@@ -114,70 +114,67 @@ def dedup_consecutive(markers: DataFrame, limits=LIMITS) -> DataFrame:
     return markers.groupBy("doc_id").applyInPandas(fold, schema)
 
 
-#: Fixed values, as in vellum.functions.text: letters that recognition takes for digits.
-_PUT_RIGHT = str.maketrans(T.MISREAD, T.MEANT)
+def wanted_numbers(known: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """(doc_id, is_solution, num) worth looking for: the key's numbers that no question has, or, without a key, the few holes of a run.
 
-
-def _reads_as(text: str, n: int) -> bool:
-    head = (text or "").split(None, 1)[:1]
-    for t in [head[0], *[head[0].split(s, 1)[0] for s in ".)" if s in head[0]]] if head else []:
-        d = t.strip(".)-:").translate(_PUT_RIGHT)
-        if 0 < len(d) <= 3 and d.isdigit() and int(d) == n:
-            return True
-    return False
-
-
-def missing_numbers(present: list[int], expected: set[int] | None) -> list[int]:
-    """Numbers worth looking for: those of the key, or the few holes of a run of three or more."""
-    have = set(present)
-    if expected:
-        return sorted(expected - have)
-    if len(have) < 3:
-        return []
-    holes = [n for n in range(min(have), max(have) + 1) if n not in have]
-    return holes if len(holes) <= max(3, (max(have) - min(have)) // 3) else []
+    known (doc_id, is_solution, num). A run has three numbers or more; its holes count if they are at most three or a third
+    of its span.
+    """
+    sides = known.groupBy("doc_id", "is_solution").agg(F.collect_set("num").alias("have"), F.min("num").alias("low"), F.max("num").alias("high"))
+    if expected is not None:
+        keys = expected.groupBy("doc_id").agg(F.collect_set(F.col("num").cast("int")).alias("key"))
+        sides = sides.join(keys.withColumn("is_solution", F.lit(False)), ["doc_id", "is_solution"], "full").withColumn("have", F.coalesce("have", F.array().cast("array<int>")))
+    else:
+        sides = sides.withColumn("key", F.lit(None).cast("array<int>"))
+    holes = F.when(F.size("have") >= 3, F.array_except(F.sequence("low", "high"), "have")).otherwise(F.array().cast("array<int>"))
+    few = F.when(F.size(holes) <= F.greatest(F.lit(3), F.floor((F.col("high") - F.col("low")) / 3)), holes)
+    return sides.select("doc_id", "is_solution", F.explode(F.when(F.size("key") > 0, F.array_except("key", "have")).otherwise(few)).alias("num"))
 
 
 def recover_markers(markers: DataFrame, lines: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Markers whose number was misread: for each missing number the first line between its neighbours that reads as it.
 
-    A marker found is a neighbour for the next number, so each doc is folded in order (cogrouped by doc_id). `expected`
-    (doc_id, num) names the questions that an answer key has.
+    `expected` (doc_id, num) names the questions that an answer key has. Candidates, the lines that read as a wanted
+    number, come from a join; a doc's side folds only these, in an expression, as a marker found is a neighbour for the
+    next number. A number without a known one beside it is bounded by the nearest known on each side. Markers without a number
+    and texts that are null take no part; an empty table gives an empty one.
     """
-    schema = "doc_id string, page int, y_top double, q_num string, is_solution boolean, x_left double, x_right double, is_strong boolean"
-    kind = "line"
-    a = markers.select(F.col("doc_id").cast("string"), F.lit("marker").alias("kind"), "page", "y_top", "q_num", "is_solution", "x_left", "x_right", F.lit("").alias("text"), F.col("marker_seq").alias("seq"))
-    b = lines.select(F.col("doc_id").cast("string"), F.lit(kind).alias("kind"), "page", "y_top", F.lit("").alias("q_num"), F.lit(False).alias("is_solution"), "x_left", "x_right", "text", F.col("line_seq").alias("seq"))
-    rows = a.unionByName(b)
-    if expected is not None:
-        rows = rows.unionByName(expected.select(F.col("doc_id").cast("string"), F.lit("key").alias("kind"), F.lit(0).alias("page"), F.lit(0.0).alias("y_top"), F.col("num").cast("string").alias("q_num"), F.lit(False).alias("is_solution"), F.lit(0.0).alias("x_left"), F.lit(0.0).alias("x_right"), F.lit("").alias("text"), F.lit(0).alias("seq")))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        key = {int(x) for x in pdf[pdf.kind == "key"].q_num}
-        all_lines = [r for r in pdf[pdf.kind == kind].itertuples()]
-        out = []
-        for side in (False, True):
-            at: dict[int, tuple] = {}
-            for r in pdf[(pdf.kind == "marker") & (pdf.is_solution == side)].itertuples():
-                digits = "".join(c if c.isdigit() else " " for c in r.q_num).split()
-                if digits:
-                    at.setdefault(int(digits[0]), (r.page, r.y_top))
-            for n in missing_numbers(list(at), None if side else key):
-                low, high = at.get(n - 1), at.get(n + 1)
-                if low is None and high is None:
-                    under, over = [m for m in at if m < n], [m for m in at if m > n]
-                    low, high = at[max(under)] if under else None, at[min(over)] if over else None
-                    if low is None and high is None:
-                        continue
-                for r in all_lines:
-                    if (low is None or (r.page, r.y_top) > low) and (high is None or (r.page, r.y_top) < high) and _reads_as(r.text, n):
-                        out.append((r.doc_id, r.page, r.y_top, str(n), side, r.x_left, r.x_right, False))
-                        at[n] = (r.page, r.y_top)
-                        break
-        return pd.DataFrame(out, columns=["doc_id", "page", "y_top", "q_num", "is_solution", "x_left", "x_right", "is_strong"])
-
-    return rows.groupBy("doc_id").applyInPandas(fold, schema)
+    doc = F.col("doc_id").cast("string").alias("doc_id")
+    place = F.struct("page", F.col("y_top").cast("double").alias("y"))
+    known = markers.select(doc, "is_solution", T.first_number(F.col("q_num")).alias("num"), "marker_seq", place.alias("place")).where("num is not null")
+    known = known.groupBy("doc_id", "is_solution", "num").agg(F.min_by("place", "marker_seq").alias("place"))
+    wanted = wanted_numbers(known.select("doc_id", "is_solution", "num"), None if expected is None else expected.select(doc, "num"))
+    spot = "struct<page:int,y:double>"
+    line = "struct<line_seq:int,page:int,y:double,x_left:double,x_right:double>"
+    fields = F.struct(*[F.col(c) for c in ("line_seq", "page", "y_top", "x_left", "x_right")]).cast(line)
+    body = lines.select(doc, fields.alias("line"), F.explode(T.readings(F.col("text"))).alias("num"))
+    spots = body.join(wanted, ["doc_id", "num"]).groupBy("doc_id", "is_solution", "num").agg(F.sort_array(F.collect_list("line")).alias("spots"))
+    open_ = spots.groupBy("doc_id", "is_solution").agg(F.sort_array(F.collect_list(F.struct("num", "spots"))).alias("open"))
+    places = known.groupBy("doc_id", "is_solution").agg(F.map_from_entries(F.collect_list(F.struct("num", F.col("place").cast(spot)))).alias("at"))
+    state = f"struct<at:map<int,{spot}>,out:array<struct<num:int,line:{line}>>>"
+
+    def let(value: F.Column, body) -> F.Column:
+        return F.transform(F.array(value), body)[0]
+
+    def step(acc: F.Column, g: F.Column) -> F.Column:
+        n, at = g["num"], acc["at"]
+
+        def taken(bounds: F.Column) -> F.Column:
+            def here(s: F.Column) -> F.Column:
+                place = F.struct(s["page"].alias("page"), s["y"].alias("y"))
+                return (bounds["low"].isNull() | (place > bounds["low"])) & (bounds["high"].isNull() | (place < bounds["high"]))
+
+            found = F.when(bounds["low"].isNotNull() | bounds["high"].isNotNull(), F.get(F.filter(g["spots"], here), F.lit(0)))
+            more = lambda x: F.struct(F.map_concat(at, F.create_map(n, F.struct(x["page"].alias("page"), x["y"].alias("y")).cast(spot))).alias("at"), F.concat(acc["out"], F.array(F.struct(n.alias("num"), x.alias("line")))).alias("out")).cast(state)
+            return let(found, lambda x: F.when(x.isNull(), acc).otherwise(more(x)))
+
+        beside = F.struct(F.try_element_at(at, n - 1).alias("low"), F.try_element_at(at, n + 1).alias("high"))
+        nearest = F.struct(F.try_element_at(at, F.array_max(F.filter(F.map_keys(at), lambda k: k < n))).alias("low"), F.try_element_at(at, F.array_min(F.filter(F.map_keys(at), lambda k: k > n))).alias("high"))
+        return let(F.when(beside["low"].isNull() & beside["high"].isNull(), nearest).otherwise(beside), taken)
+
+    begin = F.struct(F.col("at"), F.array().alias("out")).cast(state)
+    found = open_.join(places, ["doc_id", "is_solution"]).select("doc_id", "is_solution", F.aggregate("open", begin, step, lambda acc: acc["out"]).alias("out"))
+    return found.select("doc_id", "is_solution", F.inline("out")).select("doc_id", "line.page", F.col("line.y").alias("y_top"), F.col("num").cast("string").alias("q_num"), "is_solution", "line.x_left", "line.x_right", F.lit(False).alias("is_strong"))
 
 
 def batches(pages: DataFrame, size: int = 4, overlap: int = 1) -> DataFrame:

@@ -46,9 +46,47 @@ def plan_outputs(files: DataFrame, pattern: str = "#", start: int = 1, padding:
 
 
 def archive_manifest(files: DataFrame) -> DataFrame:
-    """(archive, file) rows of (file, is_solution, is_sidecar): questions and combined hold sidecars, solutions don't."""
-    one = files.select(F.when(F.col("is_solution"), "solutions").otherwise("questions").alias("archive"), "file")
-    return one.union(files.select(F.lit("combined"), "file"))
+    """(job_id, archive, file) rows of (job_id, file, is_solution, is_sidecar).
+
+    Every image is in the combined archive and in that of its side. Sidecars belong to the questions: they are in their
+    archive and the combined one if the job has a question, else in none; never in the solutions, whatever is_solution
+    says of them. An empty table gives an empty one.
+    """
+    side = F.coalesce("is_sidecar", F.lit(False))
+    asked = files.where(~side & ~F.col("is_solution")).select("job_id").distinct()
+    images = files.where(~side).select("job_id", F.when(F.col("is_solution"), "solutions").otherwise("questions").alias("archive"), "file")
+    extra = files.where(side).join(asked, "job_id", "left_semi").select("job_id", F.lit("questions").alias("archive"), "file")
+    all_ = images.union(extra)
+    return all_.union(all_.select("job_id", F.lit("combined"), "file"))
+
+
+#: What each level of compression aims at.
+LEVELS = {"light": (200, 85), "balanced": (150, 72), "strong": (100, 55), "extreme": (72, 40)}
+
+
+def compressed(files: DataFrame) -> DataFrame:
+    """files (level, original_size, made_size) with dpi and quality of the level (else of balanced), size and kept_original.
+
+    The smaller of the two is handed back: the original where compression didn't shrink it.
+    """
+    level = F.create_map(*[x for k, (d, q) in LEVELS.items() for x in (F.lit(k), F.struct(F.lit(d).alias("dpi"), F.lit(q).alias("quality")))])
+    preset = F.coalesce(F.try_element_at(level, F.lower(F.coalesce("level", F.lit("")))), F.try_element_at(level, F.lit("balanced")))
+    kept = F.col("made_size") >= F.col("original_size")
+    return files.withColumn("_p", preset).select(*files.columns, "_p.dpi", "_p.quality", F.when(kept, F.col("original_size")).otherwise(F.col("made_size")).alias("size"), kept.alias("kept_original"))
+
+
+def page_images(docs: DataFrame) -> DataFrame:
+    """(doc_id, page, name): the image name of each page of docs (doc_id, stem, n_pages), numbers as wide as the last one and two digits at least."""
+    each = docs.where("n_pages > 0").select("doc_id", "stem", "n_pages", F.explode(F.sequence(F.lit(1), F.col("n_pages").cast("int"))).alias("page"))
+    wide = F.greatest(F.lit(2), F.length(F.col("n_pages").cast("string")))
+    number = F.col("page").cast("string")
+    return each.select("doc_id", "page", F.concat("stem", F.lit("_p"), F.repeat(F.lit("0"), F.greatest(F.lit(0), wide - F.length(number))), number, F.lit(".png")).alias("name"))
+
+
+def key_pages(docs: DataFrame, most: int = 6) -> DataFrame:
+    """(doc_id, page): the last `most` pages of docs (doc_id, n_pages), where answer keys stand; a doc without pages has none."""
+    n = F.col("n_pages").cast("int")
+    return docs.where("n_pages > 0").select("doc_id", F.explode(F.sequence(F.greatest(F.lit(1), n - (most - 1)), n)).alias("page"))
 
 
 def choose_rung(attempts: DataFrame, target: int) -> DataFrame:

@@ -433,7 +433,12 @@ def gap_recovery(lines_: DataFrame) -> DataFrame:
     return lines.recover_markers(marks, lines_).select("doc_id", "page", "y_top", "q_num")
 
 
-@query(None, marks=MARKER_BOXES)
+@query("""SELECT doc_id, marker_seq, page, q_num FROM (
+  WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, y_top, marker_seq) AS i FROM marks),
+  f AS (SELECT doc_id, i, marker_seq, page, q_num, TRUE AS keep, page AS lp, q_num AS lq, is_solution AS ls, y_top AS ly FROM o WHERE i = 1
+    UNION ALL SELECT o.doc_id, o.i, o.marker_seq, o.page, o.q_num, NOT same, CASE WHEN same THEN lp ELSE o.page END, CASE WHEN same THEN lq ELSE o.q_num END, CASE WHEN same THEN ls ELSE o.is_solution END, CASE WHEN same THEN ly ELSE o.y_top END
+    FROM (SELECT o.*, f.lp, f.lq, f.ls, f.ly, o.page = f.lp AND o.q_num = f.lq AND o.is_solution = f.ls AND abs(o.y_top - f.ly) < 2 AS same FROM o JOIN f ON o.doc_id = f.doc_id AND o.i = f.i + 1) o)
+  SELECT * FROM f WHERE keep)""", marks=MARKER_BOXES)
 def marker_dedup(marks: DataFrame) -> DataFrame:
     return lines.dedup_consecutive(marks).select("doc_id", "marker_seq", "page", "q_num")
 
@@ -492,6 +497,60 @@ def largest_page(pages: DataFrame) -> DataFrame:
     return preflight.largest_page(pages)
 
 
-@query("SELECT CASE WHEN is_solution THEN 'solutions' ELSE 'questions' END AS archive, file FROM files UNION ALL SELECT 'combined', file FROM files", files="SELECT concat('f', o_orderkey) AS file, o_custkey % 2 = 0 AS is_solution FROM {orders}")
+@query("""SELECT job_id, 'solutions' AS archive, file FROM files WHERE NOT is_sidecar AND is_solution UNION ALL SELECT job_id, 'questions', file FROM files WHERE NOT is_sidecar AND NOT is_solution
+UNION ALL SELECT job_id, 'questions', file FROM files f WHERE is_sidecar AND EXISTS (SELECT 1 FROM files q WHERE q.job_id = f.job_id AND NOT q.is_sidecar AND NOT q.is_solution)
+UNION ALL SELECT job_id, 'combined', file FROM files f WHERE NOT is_sidecar OR EXISTS (SELECT 1 FROM files q WHERE q.job_id = f.job_id AND NOT q.is_sidecar AND NOT q.is_solution)""",
+    files="SELECT o_custkey AS job_id, concat('f', o_orderkey) AS file, o_custkey % 5 = 0 OR o_orderkey % 2 = 0 AS is_solution, o_orderkey % 7 = 0 AS is_sidecar FROM {orders}")
 def archive_manifest(files: DataFrame) -> DataFrame:
     return naming.archive_manifest(files)
+
+
+SPANNED = "SELECT o_orderkey AS doc_id, CAST(1 AS INT) AS item_seq, CAST(o_orderkey AS STRING) AS q_num, o_custkey % 2 = 0 AS is_solution, CAST(1 + o_custkey % 9 AS INT) AS page FROM {orders}"
+
+
+def _ranged(rows: DataFrame, *args) -> DataFrame:
+    seg = F.array(F.struct("page", *[F.lit(float(v)).alias(c) for c, v in (("y_start", 0), ("y_end", 9), ("x_start", 0), ("x_end", 9))]))
+    return dedup.apply_ranges(rows.withColumn("segments", seg), *args).select("doc_id", "is_solution")
+
+
+@query("""SELECT doc_id, is_solution, 'both' AS given FROM (SELECT doc_id, page IN (4, 5) AS is_solution FROM rows_ WHERE page IN (1, 2, 3, 4, 5))
+UNION ALL SELECT doc_id, CASE WHEN page IN (4, 5) THEN TRUE ELSE is_solution END, 'answers' FROM rows_
+UNION ALL SELECT doc_id, FALSE, 'strict' FROM rows_ WHERE page IN (1, 2)
+UNION ALL SELECT doc_id, is_solution, 'none' FROM rows_""", rows_=SPANNED)
+def page_filter(rows_: DataFrame) -> DataFrame:
+    """Both ranges drop the rest; one relabels; strict drops with one; none changes nothing."""
+    cases = (("both", ([1, 2, 3, 4], [4, 5])), ("answers", ([], [4, 5])), ("strict", ([1, 2], [], True)), ("none", ([], [])))
+    parts = [_ranged(rows_, *args).withColumn("given", F.lit(name)) for name, args in cases]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query("""SELECT doc_id, level, original_size, made_size, CASE level WHEN 'light' THEN 200 WHEN 'strong' THEN 100 WHEN 'extreme' THEN 72 ELSE 150 END AS dpi, CASE level WHEN 'light' THEN 85 WHEN 'strong' THEN 55 WHEN 'extreme' THEN 40 ELSE 72 END AS quality,
+  least(original_size, made_size) AS size, made_size >= original_size AS kept_original FROM files""",
+    files="SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 WHEN 0 THEN 'light' WHEN 1 THEN 'balanced' WHEN 2 THEN 'strong' WHEN 3 THEN 'extreme' ELSE 'unknown' END AS level, o_custkey AS original_size, o_custkey * (o_orderkey % 5) AS made_size FROM {orders}")
+def compress_result(files: DataFrame) -> DataFrame:
+    return naming.compressed(files)
+
+
+PAGED = "SELECT p_partkey AS doc_id, concat('paper', p_partkey) AS stem, CAST(p_size * (p_partkey % 3) AS INT) AS n_pages FROM {part}"
+
+
+@query("""SELECT doc_id, page::INT AS page, stem || '_p' || lpad(page::VARCHAR, greatest(2, length(n_pages::VARCHAR))::INT, '0') || '.png' AS name FROM (SELECT *, unnest(range(1, n_pages + 1)) AS page FROM docs)""", docs=PAGED)
+def page_image_names(docs: DataFrame) -> DataFrame:
+    return naming.page_images(docs)
+
+
+@query("SELECT doc_id, page::INT AS page FROM (SELECT doc_id, unnest(range(greatest(1, n_pages - 5), n_pages + 1)) AS page FROM docs WHERE n_pages > 0)", docs=PAGED)
+def key_pages(docs: DataFrame) -> DataFrame:
+    return naming.key_pages(docs)
+
+
+#: Docs whose numbers are 1 to 7 with holes, and lines that name the holes, some misread; `named` is what the rule for holes asks for.
+HOLED = f"""SELECT CAST(l_orderkey AS STRING) AS doc_id, CAST({ORDERED} AS INT) AS num, l_partkey % 3 = 0 AS lost FROM {{lineitem}}"""
+
+
+@query("""SELECT doc_id, FALSE AS is_solution, n::INT AS num FROM (
+  SELECT doc_id, unnest(list_filter(range(low, high + 1), lambda x: NOT list_contains(have, x))) AS n, low, high, c FROM (
+    SELECT doc_id, min(num) AS low, max(num) AS high, list(num) AS have, count(*) AS c FROM rows_ WHERE NOT lost GROUP BY doc_id))
+WHERE c >= 3 AND high - low + 1 - c <= greatest(3, (high - low) // 3)""", rows_=HOLED)
+def wanted_numbers(rows_: DataFrame) -> DataFrame:
+    return lines.wanted_numbers(rows_.where("not lost").select("doc_id", F.lit(False).alias("is_solution"), "num"))
