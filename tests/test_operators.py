@@ -163,6 +163,7 @@ def test_build_items(spark):
     pages = spark.createDataFrame([("d", 1, 600.0, 1000.0), ("d", 2, 600.0, 1000.0)], "doc_id string, page int, width double, height double")
     got = regions.build_items(body, marks, pages).orderBy("item_seq").collect()
     assert [(r.q_num, r.option_labels, [(s.page, s.y_start, s.y_end) for s in r.segments]) for r in got] == [("1", "AB", [(1, 10.0, 13.0)]), ("2", "", [(1, 30.0, 31.0), (2, 20.0, 24.0)])]
+    assert {(s.page, round(s.x_start, 4), round(s.x_end, 4)) for r in got for s in r.segments if s.page == 1} == {(1, 8.3333, 83.3333)}
 
 
 def test_stream_takes_each_file_once(spark, tmp_path):
@@ -204,3 +205,34 @@ def test_clusters_and_frames(spark):
     box = furniture.frames(v, h, pages)
     assert [tuple(x)[2:] for x in box.collect()] == [(50.0, 100.0, 401.0, 301.0)]
     assert furniture.outer_boxes(box.union(spark.createDataFrame([("d", 1, 60.0, 110.0, 90.0, 200.0)], rect))).count() == 1
+
+
+def test_preflight_report(spark):
+    make = spark.createDataFrame
+    files = make([("a", True), ("b", None)], "doc_id string, encrypted boolean")
+    fonts = make([("a", 1, 5, "F", False), ("a", 2, 5, "F", True), ("a", 1, 6, "G", None)], "doc_id string, page int, xref int, basefont string, embedded boolean")
+    images = make([("a", 71.9, "ICCBased RGB"), ("a", 0.0, None), ("a", 150.0, None)], "doc_id string, dpi double, colorspace string")
+    pages = make([("a", 1, 595.0, 842.0, "x" * 50), ("a", 2, 612.0, 792.0, " y "), ("a", 6, 595.0, 842.0, "z" * 99), ("c", 1, 1.0, 1.0, None)], "doc_id string, page int, width double, height double, text string")
+    got = {(r.doc_id, r.check_id): (r.status, r.n, r.worst) for r in preflight.report(files, fonts, images, pages).collect()}
+    assert [got["a", k] for k in ("encryption", "fonts_embedded", "image_dpi", "colorspace", "page_sizes", "text_layer")] == [("fail", 1, None), ("fail", 2, None), ("fail", 1, 71.9), ("warn", 1, None), ("warn", 2, None), ("ok", 1, None)]
+    assert [got["b", k][0] for k in ("encryption", "fonts_embedded", "image_dpi", "colorspace", "page_sizes", "text_layer")] == ["ok", "info", "info", "ok", "ok", "info"]
+    assert len(got) == 12
+    assert {r.doc_id: r.verdict for r in preflight.verdicts(preflight.report(files, fonts, images, pages)).collect()} == {"a": "fail", "b": "pass"}
+    assert preflight.report(*(t.limit(0) for t in (files, fonts, images, pages))).count() == 0
+
+
+def test_small_relations(spark):
+    from vellum.operators import branding as B
+
+    make = spark.createDataFrame
+    row = make([("d", 1, 0, 10.0, 20.0), ("d", 1, 0, 30.0, 5.0), ("d", 1, 0, 8.0, 15.0)], "doc_id string, page int, col int, x_left double, x_right double")
+    assert [tuple(r) for r in columns.content_bounds(row).collect()] == [("d", 1, 0, 8.0, 20.0)] and columns.content_bounds(row.limit(0)).count() == 0
+    name = make([("a.PNG",), ("b.pdf",), (None,), (".png",)], "original string")
+    assert [r[0] for r in naming.allowed(name).collect()] == ["a.PNG"]
+    item = make([("d", None, None, [1], None), ("d", " 3 ", True, [2], "x"), ("d", "4", True, [], "x"), ("d", "5", True, None, "x")], "doc_id string, q_num string, is_solution boolean, segments array<int>, source string")
+    assert sorted((r.q_num, r.is_solution, r.source) for r in dedup.detected(item).collect()) == [("0", False, "auto"), ("3", True, "x")]
+    span = make([("d", 1, 0, 2, 3, "run", 0.125, 1.0, 2.0, 3.0, 9.375, 18), ("d", 1, 0, 2, 4, " ", 0.0, 0.0, 0.0, 0.0, 1.0, None)], "doc_id string, page int, block int, line int, span int, text string, x0 double, y0 double, x1 double, y1 double, size double, flags int")
+    assert [tuple(r)[1:] for r in B.editable_spans(span).collect()] == [("p1_b0_l2_s3", 1, "run", 0.12, 1.0, 2.0, 3.0, 9.38, True, True)]
+    text = make([("d", 1, "t", 100.0, 200.0, 30.0, 60.0), ("d", 1, None, 0.0, 1.0, 0.0, 1.0), ("d", 2, "t", 0.0, 1.0, 0.0, 1.0)], "doc_id string, page int, text string, y_top double, y_bottom double, x_left double, x_right double")
+    paper = make([("d", 1, 600.0, 1000.0), ("d", 2, 0.0, 1000.0)], "doc_id string, page int, width double, height double")
+    assert [tuple(r) for r in lines.page_percent(text, paper).collect()] == [("d", 1, 10.0, 20.0, 5.0, 10.0)]

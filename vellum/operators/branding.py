@@ -104,3 +104,13 @@ def font_alias(font: Column, flags: Column, aliases: dict[str, str] | None = Non
 def packed_colour(colour: Column) -> Column:
     """The lower 24 bits; what is no number is 0."""
     return F.coalesce(colour.try_cast("long"), F.lit(0)).bitwiseAND(0xFFFFFF)
+
+
+def editable_spans(spans: DataFrame) -> DataFrame:
+    """(doc_id, id, page, text, x0, y0, x1, y1, size, bold, italic): spans (doc_id, page, block, line, span, ...) that aren't blank.
+
+    The id names page, block, line and span; bit 16 of flags is bold, bit 2 italic, null is neither. Places and sizes have two decimals.
+    """
+    ident = F.concat(*[x for k, c in (("p", "page"), ("_b", "block"), ("_l", "line"), ("_s", "span")) for x in (F.lit(k), F.col(c).cast("string"))])
+    flag = lambda bit: F.coalesce(F.col("flags"), F.lit(0)).bitwiseAND(F.lit(bit)) != 0
+    return spans.where(T.strip(F.col("text")) != "").select("doc_id", ident.alias("id"), "page", "text", *[F.bround(c, 2).alias(c) for c in ("x0", "y0", "x1", "y1", "size")], flag(16).alias("bold"), flag(2).alias("italic"))

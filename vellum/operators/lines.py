@@ -200,3 +200,10 @@ def iterate(batches_: Iterator[pd.DataFrame], parse) -> Iterator[pd.DataFrame]:
             except Exception as e:  # the status column carries it
                 out.append({"doc_id": r.doc_id, "status": "failed", "error": str(e)[:200]})
         yield pd.DataFrame(out)
+
+
+def page_percent(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page, y0, y1, x0, x1) in percent of the page: lines (y_top, y_bottom, x_left, x_right, text) that aren't blank, on pages with a size."""
+    sized = pages.where("width > 0 and height > 0").select("doc_id", "page", "width", "height")
+    of = lambda v, whole: (F.col(v) / F.col(whole) * 100.0)
+    return lines.where(T.strip(F.col("text")) != "").join(sized, ["doc_id", "page"]).select("doc_id", "page", of("y_top", "height").alias("y0"), of("y_bottom", "height").alias("y1"), of("x_left", "width").alias("x0"), of("x_right", "width").alias("x1"))

@@ -99,3 +99,12 @@ def choose_rung(attempts: DataFrame, target: int) -> DataFrame:
 def expired(jobs: DataFrame, now, seconds: int = 1800) -> DataFrame:
     """Jobs (job_id, mtime in seconds) that are older than `seconds`."""
     return jobs.where(F.lit(now) - F.col("mtime") > seconds)
+
+
+#: The extensions that may be renamed.
+IMAGES = ("png", "jpg", "jpeg", "gif", "bmp", "webp", "tif", "tiff")
+
+
+def allowed(files: DataFrame, name: str = "original") -> DataFrame:
+    """Files whose name has an image's extension; a null name has none."""
+    return files.where(T.split_extension(F.col(name))["ext"].isin(*IMAGES))

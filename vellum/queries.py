@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 from vellum.functions import text as T
-from vellum.operators import answers, columns, dedup, furniture, lines, naming, preflight, review
+from vellum.operators import answers, branding, columns, dedup, furniture, lines, naming, preflight, review
 from vellum.plans import regions, tiers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -554,3 +554,68 @@ HOLED = f"""SELECT CAST(l_orderkey AS STRING) AS doc_id, CAST({ORDERED} AS INT)
 WHERE c >= 3 AND high - low + 1 - c <= greatest(3, (high - low) // 3)""", rows_=HOLED)
 def wanted_numbers(rows_: DataFrame) -> DataFrame:
     return lines.wanted_numbers(rows_.where("not lost").select("doc_id", F.lit(False).alias("is_solution"), "num"))
+
+
+BOUNDED = "SELECT l_suppkey AS doc_id, l_linenumber AS page, CAST(l_orderkey % 2 AS INT) AS col, CAST(l_partkey % 300 AS DOUBLE) AS x_left, CAST(l_partkey % 300 + l_quantity - 9 AS DOUBLE) AS x_right FROM {lineitem}"
+
+
+@query("SELECT doc_id, page, col, min(x_left) AS x0, max(x_right) AS x1 FROM rows_ WHERE x_right > x_left GROUP BY ALL", rows_=BOUNDED)
+def content_bounds(rows_: DataFrame) -> DataFrame:
+    return columns.content_bounds(rows_)
+
+
+@query("SELECT doc_id, page, y_top / height * 100 AS y0, y_bottom / height * 100 AS y1, x_left / width * 100 AS x0, x_right / width * 100 AS x1 FROM rows_ JOIN pages USING (doc_id, page) WHERE trim(text) <> '' AND width > 0 AND height > 0",
+    rows_="SELECT l_orderkey AS doc_id, l_linenumber AS page, CASE WHEN l_partkey % 4 = 0 THEN ' ' ELSE 'word' END AS text, CAST(l_partkey % 700 AS DOUBLE) AS y_top, CAST(l_partkey % 700 + 11 AS DOUBLE) AS y_bottom, CAST(l_suppkey % 50 AS DOUBLE) AS x_left, CAST(l_suppkey % 50 + 90 AS DOUBLE) AS x_right FROM {lineitem}",
+    pages="SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS page, CAST(595 AS DOUBLE) AS width, CAST(CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE 842 END AS DOUBLE) AS height FROM {lineitem}")
+def page_percent(rows_: DataFrame, pages: DataFrame) -> DataFrame:
+    return lines.page_percent(rows_, pages)
+
+
+@query("SELECT doc_id FROM files WHERE regexp_matches(original, '.\\.(png|jpe?g|gif|bmp|webp|tiff?)$', 'i')",
+    files="SELECT o_orderkey AS doc_id, concat('scan', o_custkey, CASE o_orderkey % 7 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpeg' WHEN 2 THEN '.pdf' WHEN 3 THEN '' WHEN 4 THEN '.tar.webp' WHEN 5 THEN '.' ELSE '.tif' END) AS original FROM {orders}")
+def allowed_files(files: DataFrame) -> DataFrame:
+    return naming.allowed(files).select("doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN trim(coalesce(q_num, '')) = '' THEN '0' ELSE trim(q_num) END AS q_num, coalesce(is_solution, FALSE) AS is_solution, n::INT AS n, CASE WHEN coalesce(source, '') = '' THEN 'auto' ELSE source END AS source FROM rows_ WHERE n > 0",
+    rows_="SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN ' 7 ' ELSE CAST(o_custkey AS STRING) END AS q_num, CASE o_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN TRUE ELSE FALSE END AS is_solution, CAST(o_orderkey % 3 AS INT) AS n, CASE o_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'manual' END AS source FROM {orders}")
+def detected_items(rows_: DataFrame) -> DataFrame:
+    return dedup.detected(rows_.withColumn("segments", F.array_repeat(F.lit(1.0), F.col("n")))).select("doc_id", "q_num", "is_solution", F.size("segments").alias("n"), "source")
+
+
+@query("SELECT doc_id, 'p' || page || '_b' || block || '_l' || line || '_s' || span AS id, page, text, round_even(x0, 2) AS x0, round_even(y0, 2) AS y0, round_even(x1, 2) AS x1, round_even(y1, 2) AS y1, round_even(size, 2) AS size, coalesce(flags, 0) // 16 % 2 = 1 AS bold, coalesce(flags, 0) // 2 % 2 = 1 AS italic FROM spans WHERE trim(text) <> ''",
+    spans="SELECT l_orderkey AS doc_id, l_linenumber AS page, l_partkey % 4 AS block, l_suppkey % 3 AS line, l_partkey % 2 AS span, CASE WHEN l_partkey % 6 = 0 THEN '  ' ELSE concat('run ', l_partkey) END AS text, CAST(l_partkey % 500 AS DOUBLE) / 8 AS x0, CAST(l_suppkey % 70 AS DOUBLE) / 8 AS y0, CAST(l_partkey % 900 AS DOUBLE) / 8 AS x1, CAST(9 AS DOUBLE) AS y1, CAST(l_suppkey % 9 AS DOUBLE) / 8 AS size, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE CAST(l_partkey % 32 AS INT) END AS flags FROM {lineitem}")
+def editable_spans(spans: DataFrame) -> DataFrame:
+    return branding.editable_spans(spans)
+
+
+@query("""SELECT doc_id, 'a4' AS spec, CASE WHEN 2 * n_wide > n THEN 841.89::DOUBLE ELSE 595.28::DOUBLE END AS width, CASE WHEN 2 * n_wide > n THEN 595.28::DOUBLE ELSE 841.89::DOUBLE END AS height FROM (SELECT doc_id, count(*) AS n, count(*) FILTER (width > height) AS n_wide FROM pages GROUP BY ALL)
+UNION ALL SELECT DISTINCT doc_id, 'custom:254x127', 720::DOUBLE, 360::DOUBLE FROM pages""", pages="SELECT l_suppkey AS doc_id, l_linenumber AS page, CAST(l_partkey % 900 AS DOUBLE) AS width, CAST(l_orderkey % 900 AS DOUBLE) AS height FROM {lineitem}")
+def target_sizes(pages: DataFrame) -> DataFrame:
+    a, b = (preflight.target_size(pages, s).withColumn("spec", F.lit(s)) for s in ("a4", "custom:254x127"))
+    return a.unionByName(b)
+
+
+@query("""SELECT doc_id, page, (tw - width * k) / 2 AS x0, (th - height * k) / 2 AS y0, (tw + width * k) / 2 AS x1, (th + height * k) / 2 AS y1, abs(width - tw) > 1 OR abs(height - th) > 1 AS moved
+FROM (SELECT doc_id, page, p.width, p.height, t.width AS tw, t.height AS th, least(t.width / p.width, t.height / p.height) AS k FROM pages p JOIN target t USING (doc_id))""",
+    pages="SELECT p_partkey AS doc_id, p_size AS page, CAST(500 + p_partkey % 9 * 20 AS DOUBLE) AS width, CAST(700 + p_partkey % 7 * 20 AS DOUBLE) AS height FROM {part}", target="SELECT p_partkey AS doc_id, CAST(540.5 AS DOUBLE) AS width, CAST(760 AS DOUBLE) AS height FROM {part}")
+def page_placement(pages: DataFrame, target: DataFrame) -> DataFrame:
+    return preflight.placement(pages, target)
+
+
+@query("""SELECT f.doc_id, c AS check_id, status, n::BIGINT AS n, worst::DOUBLE AS worst, coalesce(names, '') AS names FROM files f
+LEFT JOIN (SELECT doc_id, count(*) AS nf, count(*) FILTER (NOT e) AS nl, array_to_string(list_sort(list(DISTINCT b) FILTER (NOT e))[1:6], ', ') AS loose FROM (SELECT doc_id, xref, basefont AS b, bool_and(embedded) AS e FROM fonts GROUP BY ALL) GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS ni, count(*) FILTER (dpi > 0 AND dpi < 72) AS low, count(*) FILTER (dpi >= 72 AND dpi < 150) AS fair, min(dpi) FILTER (dpi > 0) AS least_dpi, count(*) FILTER (colorspace ILIKE '%rgb%') AS rgb FROM images GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(DISTINCT label) AS ns, array_to_string(list_sort(list(DISTINCT label))[1:4], ', ') AS sizes, sum(length(trim(text))) FILTER (page <= 5) AS chars FROM (SELECT *, CASE width WHEN 595 THEN '210×297 mm (A4)' WHEN 612 THEN '216×279 mm (Letter)' ELSE '141×141 mm' END AS label FROM pages) GROUP BY doc_id) USING (doc_id),
+LATERAL (SELECT 'encryption' AS c, CASE WHEN encrypted THEN 'fail' ELSE 'ok' END AS status, encrypted::INT AS n, NULL AS worst, '' AS names
+UNION ALL SELECT 'fonts_embedded', CASE WHEN nl > 0 THEN 'fail' WHEN nf > 0 THEN 'ok' ELSE 'info' END, CASE WHEN nl > 0 THEN nl ELSE coalesce(nf, 0) END, NULL, loose
+UNION ALL SELECT 'image_dpi', CASE WHEN low > 0 THEN 'fail' WHEN fair > 0 THEN 'warn' WHEN ni > 0 THEN 'ok' ELSE 'info' END, CASE WHEN low > 0 THEN low WHEN fair > 0 THEN fair ELSE coalesce(ni, 0) END, CASE WHEN low > 0 OR fair > 0 THEN least_dpi END, ''
+UNION ALL SELECT 'colorspace', CASE WHEN rgb > 0 THEN 'warn' ELSE 'ok' END, coalesce(rgb, 0), NULL, ''
+UNION ALL SELECT 'page_sizes', CASE WHEN ns > 1 THEN 'warn' ELSE 'ok' END, coalesce(ns, 0), NULL, sizes
+UNION ALL SELECT 'text_layer', CASE WHEN chars > 50 THEN 'ok' ELSE 'info' END, (coalesce(chars, 0) > 50)::INT, NULL, '') x""",
+    files="SELECT p_partkey AS doc_id, p_partkey % 7 = 0 AS encrypted FROM {part}",
+    fonts="SELECT l_partkey AS doc_id, l_linenumber AS page, l_suppkey % 5 AS xref, concat('Font', l_suppkey % 5) AS basefont, (l_suppkey % 5 + l_partkey) % 4 <> 0 OR l_partkey % 3 = 0 AS embedded FROM {lineitem} WHERE l_partkey % 11 <> 0",
+    images="SELECT o_custkey AS doc_id, CAST(CASE o_custkey % 3 WHEN 0 THEN o_orderkey % 400 WHEN 1 THEN 72 + o_orderkey % 100 ELSE 150 + o_orderkey % 9 END AS DOUBLE) AS dpi, CASE o_custkey % 4 WHEN 0 THEN 'DeviceRGB' WHEN 1 THEN NULL ELSE 'DeviceCMYK' END AS colorspace FROM {orders}",
+    pages="SELECT l_partkey AS doc_id, l_linenumber AS page, CAST(CASE WHEN l_partkey % 2 = 0 OR l_suppkey % 3 = 0 THEN 595 WHEN l_suppkey % 3 = 1 THEN 612 ELSE 400 END AS DOUBLE) AS width, CAST(CASE WHEN l_partkey % 2 = 0 OR l_suppkey % 3 = 0 THEN 842 WHEN l_suppkey % 3 = 1 THEN 792 ELSE 400 END AS DOUBLE) AS height, CASE WHEN l_partkey % 3 = 0 THEN ' ab ' ELSE concat('words of ', l_orderkey) END AS text FROM {lineitem}")
+def preflight_report(files: DataFrame, fonts: DataFrame, images: DataFrame, pages: DataFrame) -> DataFrame:
+    return preflight.report(files, fonts, images, pages)
