@@ -241,7 +241,16 @@ def iou_pairs(boxes: DataFrame) -> DataFrame:
     return dedup.overlap_pairs(with_segments(boxes), 0.3)
 
 
-@query(None, boxes=BOXES)
+#: A fold in SQL: `kept` holds what stays of a doc's items so far; `hit` is the first of these that the next item overlaps.
+@query("""SELECT k.doc_id, k.item_seq, k.q_num, k.is_solution FROM (
+  WITH RECURSIVE o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY item_seq) AS i, {'doc_id': doc_id, 'item_seq': item_seq, 'q_num': q_num, 'is_solution': is_solution, 'page': page, 'y0': y_start, 'y1': y_end, 'x0': x_start, 'x1': x_end} AS s FROM boxes),
+  f AS (SELECT doc_id, i, [s] AS kept FROM o WHERE i = 1
+    UNION ALL SELECT doc_id, i, CASE WHEN hit IS NULL THEN list_append(kept, s) WHEN s.y1 - s.y0 > kept[hit].y1 - kept[hit].y0 THEN list_concat(list_append(kept[1:hit - 1], s), kept[hit + 1:]) ELSE kept END
+    FROM (SELECT o.doc_id, o.i, o.s, f.kept, list_filter(range(1, len(f.kept) + 1), lambda n: f.kept[n].page = o.s.page AND f.kept[n].is_solution = o.s.is_solution AND
+        greatest(0, least(f.kept[n].x1, o.s.x1) - greatest(f.kept[n].x0, o.s.x0)) * greatest(0, least(f.kept[n].y1, o.s.y1) - greatest(f.kept[n].y0, o.s.y0))
+        >= 0.3 * ((f.kept[n].x1 - f.kept[n].x0) * (f.kept[n].y1 - f.kept[n].y0) + (o.s.x1 - o.s.x0) * (o.s.y1 - o.s.y0)
+          - greatest(0, least(f.kept[n].x1, o.s.x1) - greatest(f.kept[n].x0, o.s.x0)) * greatest(0, least(f.kept[n].y1, o.s.y1) - greatest(f.kept[n].y0, o.s.y0))))[1] AS hit FROM o JOIN f ON o.doc_id = f.doc_id AND o.i = f.i + 1))
+  SELECT unnest(kept) AS k FROM (SELECT arg_max(kept, i) AS kept FROM f GROUP BY doc_id))""", boxes=BOXES)
 def greedy_overlap(boxes: DataFrame) -> DataFrame:
     return dedup.dedup_overlaps(with_segments(boxes), 0.3).select("doc_id", "item_seq", "q_num", "is_solution")
 
@@ -399,7 +408,16 @@ def page_ranges(docs: DataFrame) -> DataFrame:
     return p.select("doc_id", F.size("p").alias("n"), F.array_min("p").alias("first"), F.array_max("p").alias("last"))
 
 
-@query(None, boxes=BOXES)
+#: What several batches of pages found: each number's segments come more than once, some a little off.
+BATCHES = BOXES.replace("l_orderkey AS doc_id, CAST(", "l_suppkey AS doc_id, CAST(").replace("PARTITION BY l_orderkey ORDER BY l_linenumber", "PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber")
+
+
+@query("""SELECT doc_id, q_num, is_solution, len(kept)::INT AS n_segments, round(list_sum(list_transform(kept, lambda k: k.y1 - k.y0)), 4) AS extent FROM (
+  WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, q_num, is_solution ORDER BY item_seq) AS i, {'page': page, 'y0': y_start, 'y1': y_end} AS s FROM boxes),
+  f AS (SELECT doc_id, q_num, is_solution, i, [s] AS kept FROM o WHERE i = 1
+    UNION ALL SELECT o.doc_id, o.q_num, o.is_solution, o.i, CASE WHEN len(list_filter(f.kept, lambda k: k.page = o.s.page AND abs(k.y0 - o.s.y0) < 3.0)) > 0 THEN f.kept ELSE list_append(f.kept, o.s) END
+    FROM o JOIN f ON o.doc_id = f.doc_id AND o.q_num = f.q_num AND o.is_solution = f.is_solution AND o.i = f.i + 1)
+  SELECT doc_id, q_num, is_solution, arg_max(kept, i) AS kept FROM f GROUP BY ALL)""", boxes=BATCHES)
 def batch_merge(boxes: DataFrame) -> DataFrame:
     return dedup.merge_batches(with_segments(boxes)).select("doc_id", "q_num", "is_solution", F.size("segments").alias("n_segments"), F.round(G.extent(F.col("segments")), 4).alias("extent"))
 
