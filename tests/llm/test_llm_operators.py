@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -186,6 +187,39 @@ def test_gray_index_finds_the_components_of_all_links():
             assert any(int(a ^ b) & m == 0 for m in simhash.blocks(3))
 
 
+def test_long_lists_are_searched_in_bounded_memory():
+    rng = np.random.default_rng(1)
+    few = np.repeat(np.arange(20000), 2)  # many short lists before a long one let the steps grow
+    key, fp = np.concatenate([few, np.full(5000, 10**9)]), rng.integers(0, 2**63, 45000, dtype=np.uint64)
+    index = simhash.GrayIndex(key, fp)
+    tracemalloc.start()
+    label = index.tie(26)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    mine = np.empty(len(fp), np.int64)
+    mine[index.order] = label
+    assert len(set(mine[len(few):].tolist())) == 1
+    near = np.bitwise_count(fp[: len(few) : 2] ^ fp[1 : len(few) : 2]) <= 26
+    assert (near == (mine[: len(few) : 2] == mine[1 : len(few) : 2])).all()
+
+
+@pytest.mark.parametrize("k", [3, 12, 26])
+def test_a_search_cut_into_many_parts_finds_the_same_components(monkeypatch, k):
+    rng = np.random.default_rng(k)
+    fp = rng.integers(0, 2**63, 40, dtype=np.uint64).repeat(25)
+    for _ in range(k // 2 + 1):
+        fp ^= np.uint64(1) << rng.integers(0, 64, len(fp), dtype=np.uint64)
+    fp = np.unique(fp)
+    theirs = components_by_hand(fp, k)
+    for most in (simhash.FAN, 100):
+        monkeypatch.setattr(simhash, "FRONTIER", most)
+        index = simhash.GrayIndex(np.zeros(len(fp), np.int64), fp)
+        mine = np.empty(len(fp), np.int64)
+        mine[index.order] = index.tie(k)
+        assert len(set(zip(mine.tolist(), theirs, strict=True))) == len(set(theirs)) == len(set(mine.tolist()))
+
+
 def test_similar_texts_stay_once(spark):
     rng = random.Random(2)
     rows, ids = [], iter(range(10**6))

@@ -25,6 +25,7 @@ from vellum.llm.common import discard, map_text, narrow, stored
 from vellum.llm.components import components
 
 FAN = 8
+FRONTIER = 1 << 18  # nodes that a search opens at once; FAN at least
 PLACE_BITS = 20  # shingles are counted by this many bits of their hash, however many there are
 PLACES = 1 << PLACE_BITS
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -185,29 +186,45 @@ class GrayIndex:
         return label
 
     def _search(self, q: np.ndarray, k: int, label: np.ndarray) -> np.ndarray:
+        """label after tying rows q to all later rows of their lists within k.
+
+        Depth first, in parts that open about FRONTIER nodes at once: whatever the length of a list, memory is bounded
+        by the levels, and what a part ties is skipped by the next ones.
+        """
         top = len(self.levels) - 1
-        node = self.list_of[q]
-        diff = np.zeros(len(q), np.int64)
-        for d in range(top, -1, -1):
-            first, last, shared, value, a, b = self.levels[d]
-            x = (self.fp[q] ^ value[node]) & self.own[d][node]
-            diff = diff + np.bitwise_count(x)
-            go = (diff <= k) & (last[node] > q + 1)
-            if d:
-                tied = np.minimum.reduceat(label, first) if len(first) else first
-                go &= ~((tied[node] == label[q]) & (np.maximum.reduceat(label, first)[node] == label[q]))
-            q, node, diff = q[go], node[go], diff[go]
-            if not d:
-                return unite(label, q, node)
-            whole = diff + 64 - np.bitwise_count(shared[node]) <= k
-            if whole.any():
-                label = unite(label, q[whole], first[node[whole]])
-                q, node, diff = q[~whole], node[~whole], diff[~whole]
+        label, *part = self._reach(top, q, self.list_of[q], np.zeros(len(q), np.int64), k, label)
+        stack = [(top, *part)]
+        while stack:
+            d, q, node, diff = stack.pop()
+            if not d or not len(q):
+                continue
+            a, b = self.levels[d][4:]
             size = b[node] - a[node]
-            child = np.repeat(a[node], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            q, diff, node = np.repeat(q, size), np.repeat(diff, size), child
+            upto = np.cumsum(size)
+            if upto[-1] > FRONTIER:
+                ends = [0, *(np.flatnonzero(np.diff((upto - 1) // FRONTIER)) + 1).tolist(), len(q)]
+                stack += [(d, q[i:j], node[i:j], diff[i:j]) for i, j in zip(ends[-2::-1], ends[:0:-1], strict=True)]
+                continue
+            child = np.repeat(a[node] - upto + size, size) + np.arange(upto[-1])
+            label, *part = self._reach(d - 1, np.repeat(q, size), child, np.repeat(diff, size), k, label)
+            stack.append((d - 1, *part))
         return label
 
+    def _reach(self, d: int, q: np.ndarray, node: np.ndarray, diff: np.ndarray, k: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """label, with what nodes of level d settle, and the q, node and diff that are to be searched below."""
+        first, last, shared, value, *_ = self.levels[d]
+        diff = diff + np.bitwise_count((self.fp[q] ^ value[node]) & self.own[d][node])
+        go = (diff <= k) & (last[node] > q + 1)
+        if d:
+            low, high = np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)
+            go &= ~((low[node] == label[q]) & (high[node] == label[q]))
+        q, node, diff = q[go], node[go], diff[go]
+        whole = diff + 64 - np.bitwise_count(shared[node]) <= k if d else np.ones(len(q), bool)
+        if whole.any():
+            label = unite(label, q[whole], first[node[whole]])
+            q, node, diff = q[~whole], node[~whole], diff[~whole]
+        return label, q, node, diff
+
 
 def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels (each row's least known fellow, itself labelled by itself) after tying rows a to rows b."""
