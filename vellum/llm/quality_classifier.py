@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,14 +104,26 @@ def log_count_ratios(rows: DataFrame) -> np.ndarray:
         at = np.flatnonzero(table.any(axis=0))
         yield pa.record_batch([pa.array(at), pa.array(table[0][at]), pa.array(table[1][at])], ["f", "n0", "n1"])
 
-    counts = rows.select("text", "y").mapInArrow(count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    counts = rows.select("text", "y").mapInArrow(count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     p, q = np.ones(SIZE), np.ones(SIZE)
-    p[counts["f"]] += counts["n1"]
-    q[counts["f"]] += counts["n0"]
+    at = counts.column("f").to_numpy()
+    p[at] += counts.column("n1").to_numpy()
+    q[at] += counts.column("n0").to_numpy()
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: float = 1.0, rounds: int = 20) -> tuple[np.ndarray, float]:
+class Scaled:
+    """The values of each row, made when asked for: the ratios at its places, scaled to length 1."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray):
+        self.rows, self.ratio = rows, ratio
+        self.length = [max(np.sqrt(np.square(ratio[r]).sum()), 1e-9) for r in rows]
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.ratio[self.rows[i]] / self.length[i]
+
+
+def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray] | Scaled, y: np.ndarray, cost: float = 1.0, rounds: int = 20) -> tuple[np.ndarray, float]:
     """Weights and bias of the L2-regularised hinge loss over sparse rows; y is 1 or -1."""
     w, bias, alpha = np.zeros(SIZE), 0.0, np.zeros(len(rows))
     square = np.array([float(v @ v) + 1 for v in values])
@@ -156,12 +169,14 @@ def fit(docs: DataFrame, labels: DataFrame, divisor: int = 3, held_out: int = 1,
             yield pa.record_batch([pa.array([r.tobytes() for r in rows], pa.binary()), b.column("y"), b.column("doc_id")], ["f", "y", "doc_id"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table = rows.select("text", "y", "doc_id").mapInArrow(featurise, f"f binary, y int, doc_id {kind}").toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
-    rows = [np.frombuffer(x, np.int32) for x in table.column("f").to_pylist()]
-    y = np.array(table.column("y").to_pylist(), np.int64)
+    table = rows.select("text", "y", "doc_id").mapInArrow(featurise, f"f binary, y int, doc_id {kind}").toArrow()
+    order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("f", "ascending")]).to_numpy()
+    y = table.column("y").to_numpy()[order].astype(np.int64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(SIZE), ratio, 0.0, 1.0, 0.0)
-    values = [ratio[r] / max(np.sqrt(np.square(ratio[r]).sum()), 1e-9) for r in rows]
+    rows = [np.frombuffer(x.as_buffer(), np.int32) for x in table.column("f")]  # views: what came is the only copy that the driver holds
+    rows = [rows[i] for i in order]
+    values = Scaled(rows, ratio)
     w, bias = dual_coordinate_descent(rows, values, np.where(y == 1, 1, -1))
     margin = np.array([w[r] @ v + bias for r, v in zip(rows, values, strict=True)])
     slope, shift = logistic_curve(margin, y)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import discard, map_text, narrow, stored
-from vellum.llm.components import components
+from vellum.llm.components import components, unite
 
 FAN = 8
 FRONTIER = 1 << 18  # nodes that a search opens at once; FAN at least
@@ -226,24 +226,6 @@ class GrayIndex:
         return label, q, node, diff
 
 
-def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (each row's least known fellow, itself labelled by itself) after tying rows a to rows b."""
-    while len(a):
-        x, y = label[a], label[b]
-        go = x != y
-        if not go.any():
-            break
-        a, b, x, y = a[go], b[go], x[go], y[go]
-        label = label.copy()
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            new = label[label]
-            if (new == label).all():
-                break
-            label = new
-    return label
-
-
 def pigeonhole(fps: DataFrame, k: int) -> DataFrame:
     """(fp, block, bits): the lists of each different fingerprint; any two that differ in at most k bits share one."""
     masks = blocks(k)
